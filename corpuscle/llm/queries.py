@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import encoding, leakage, ranking, splitting, survivors
+from corpuscle.llm import abuse, encoding, leakage, near_duplicates, neighbours, ranking, sentences, splitting, survivors
 from corpuscle.sources.tables import table
 
 
@@ -29,6 +29,10 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root)
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, root, "chunk_vectors")).select("chunk_id", "neighbour_id")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return ranking.first_by_majority(table(spark, root, "search_results"))
 
@@ -37,6 +41,18 @@ def p5_order(spark: SparkSession, root: str) -> DataFrame:
     return ranking.rank_walk(table(spark, root, "search_results")).select("query_id", "chunk_id", "final_rank")
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentences(table(spark, root, "chunks"), table(spark, root, "claims"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return near_duplicates.NearDuplicates(table(spark, root, "claims")).pairs().select(F.col("id_a").alias("claim_id_a"), F.col("id_b").alias("claim_id_b"))
+
+
+def p7_classes(spark: SparkSession, root: str) -> DataFrame:
+    return near_duplicates.NearDuplicates(table(spark, root, "claims")).membership()
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return encoding.encode(table(spark, root, "documents"))
 
@@ -49,16 +65,39 @@ def p9_items(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _scored(spark, root).filter("flagged").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    return _scored(spark, root).select("doc_id", "score")
+
+
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.rates(_scored(spark, root))
+
+
+def _scored(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.score(table(spark, root, "documents"), table(spark, root, "doc_labels"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_golden": p1_golden,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_order": p5_order,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_classes": p7_classes,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 # White space and blanks as RE2 patterns.
@@ -88,4 +127,15 @@ _P5 = """with s as (select query_id, chunk_id, max(case when not isnan(rrf_score
 _GRAMS = "select {0} i, list_slice(w, s, s + 11) g from (select {0}, w, unnest(generate_series(1, len(w) - 11)) s from (select {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+') w from {1} where text is not null) where len(w) >= 12)"
 _P9 = f"select distinct d.i as doc_id, e.i as item_id from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) e on d.g = e.g"
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p5_found": _P5, "p9_found": _P9}
+_P3 = """with v as (select chunk_id, any_value(embedding)::double[64] e from chunk_vectors where chunk_id is not null and len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
+  s as (select a.chunk_id, b.chunk_id neighbour_id, round(array_cosine_similarity(a.e, b.e), 6) c from v a join v b on a.chunk_id <> b.chunk_id)
+  select chunk_id, neighbour_id from (select *, row_number() over (partition by chunk_id order by c desc, neighbour_id) n from s where c >= 0.85) where n <= 5"""
+
+_P7 = r"""with c as (select distinct on (id) id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}]+') w from claims where id is not null and text is not null),
+  t as (select id, w, count(*) n from (select id, unnest(w) w from c) group by all),
+  z as (select id, sum(n) z from t group by 1),
+  i as (select a.id x, b.id y, sum(least(a.n, b.n)) common from t a join t b on a.w = b.w and a.id < b.id group by all)
+  select x as claim_id_a, y as claim_id_b from i join z p on p.id = x join z q on q.id = y where common * 1.0 / (p.z + q.z - common) >= 0.75"""
+
+SQL = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p7_found": _P7, "p9_found": _P9}
