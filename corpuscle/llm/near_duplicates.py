@@ -6,19 +6,20 @@ the size of the symmetric difference of their multisets. A similarity (shared by
 joined words) of at least ``SIMILARITY`` = 3/4 means a distance of at most
 (a + b) / 7 for sizes a <= b, and b <= 4a/3.
 
-The signature is split by place into chunks. For a distance of D, any chunks with
-allowed errors t_c and a sum of (t_c + 1) above D hold one chunk that differs by at
-most t_c bits (pigeonhole). Here t_c is 1 or, for a chunk that isn't probed, -1: the
-smaller record of a pair probes just enough chunks for its own D, those with the
-longest words first, as short words are the frequent ones. Errors are enumerated by
-clearing set bits: a chunk differs by one bit if it equals the other after clearing
-one bit of either. A key is the sum of a chunk's token hashes, so clearing a bit is
-a subtraction. No pair above the threshold is lost, whatever the data; a parity
-sketch and an exact count drop the rest.
+The signature is split by place into chunks. For a distance of D, any allowed errors
+t_c per chunk with a sum of (t_c + 1) above D leave one chunk that differs by at most
+t_c bits (generalised pigeonhole); t_c is -1 (the chunk isn't probed), 0 or 1. The
+smaller record of a pair probes. It spends its D + 1 where that meets the fewest
+other records, by the frequencies of its words in the whole collection, counted in a
+fixed number of hashed counters. Errors are enumerated by clearing set bits: a chunk
+differs by one bit if it equals the other after clearing one bit of either. A key is
+the sum of a chunk's token hashes, so clearing a bit is a subtraction. No pair above
+the threshold is lost, whatever the data and the counters; a parity sketch and an
+exact count drop the rest.
 
 Records with equal multisets are one class; only one row per class takes part in
 the join. Sizes fall into groups with a chunk count each; a record takes part in
-its own group, and in those that hold records down to 3/4 of its size.
+its own group, and as the larger one in those that hold records down to 3/4 of its size.
 
 Defined cases: null texts and texts without words have no pairs; repeated
 deliveries of an id count once; rows with a null id are left out; extra columns of
@@ -44,8 +45,12 @@ SIMILARITY = (3, 4)
 GROUPS = (4, 8, 16, 36)
 RATIO = 2.25
 
+#: Hashed counters of words (1 MB) and characters of text taken at once.
+COUNTERS, SLICE = 1 << 18, 500_000
+
 BAGS = "id string, k1 bigint, k2 bigint, size int, tokens array<bigint>"
-KEYS = "key bigint, whole boolean, probe boolean, k1 bigint, k2 bigint, size int, sketch bigint"
+#: ``whole``: no bit cleared; ``errors``: the allowed errors of a probe, -1 for none.
+KEYS = "key bigint, whole boolean, errors int, k1 bigint, k2 bigint, size int, sketch bigint"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,14 +77,10 @@ def distance(size: np.ndarray | int):
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, token) of every word; equal words of a text have different tokens by their occurrence.
-
-    The low four bits of a token hold the word's length, 15 at most.
-    """
+    """(text number, token) of every word; equal words of a text have different tokens by their occurrence."""
     owner, code, found = words(texts)
     spelled = found.to_pylist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in spelled), np.uint64, len(spelled))
-    lengths = np.fromiter((min(15, len(w)) for w in spelled), np.uint64, len(spelled))
     order = np.lexsort((code, owner))
     owner, code = owner[order], code[order]
     first = np.ones(len(code), bool)
@@ -88,7 +89,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     occurrence = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
     with np.errstate(over="ignore"):
         token = mix(hashes[code] + (occurrence + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return owner, (token & ~np.uint64(15)) | lengths[code]
+    return owner, token
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, texts in slices(batch.column(1).to_pylist()):
+        for first, texts in slices(batch.column(1).to_pylist(), SLICE):
             owner, token = tokens(texts)
             size = np.bincount(owner, minlength=len(texts))
             bounds = np.concatenate([[0], np.cumsum(size)])
@@ -109,17 +110,40 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(size > 0))
 
 
-def chunk_keys(k1: np.ndarray, k2: np.ndarray, size: np.ndarray, flat: np.ndarray) -> list[np.ndarray]:
+def counter(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(20)).astype(np.int64) % COUNTERS
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(counter(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)), minlength=COUNTERS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+
+
+def allowed_errors(weight: np.ndarray, cleared: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """t (records x chunks, -1 to 1) with a sum of t + 1 of at least ``budget``, at the least expected cost.
+
+    ``weight``: records expected to share the chunk; ``cleared``: to share it after clearing one bit of either.
+    """
+    step0, m = weight + 1e-2, weight.shape[1]
+    step1 = np.maximum(cleared + 5e-2, step0)
+    rank = np.argsort(np.argsort(np.concatenate([step0, step1], axis=1), axis=1, kind="stable"), axis=1, kind="stable")
+    taken = rank < budget[:, None]
+    return taken[:, :m].astype(np.int32) + taken[:, m:] - 1
+
+
+def chunk_keys(k1: np.ndarray, k2: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.ndarray, records: int) -> list[np.ndarray]:
     """The columns of ``KEYS`` for records whose tokens lie in ``flat`` one after another."""
     n = len(size)
     owner = np.repeat(np.arange(n), size)
     ends = group_ends(int(size.max()))
     high = np.searchsorted(ends, size)
     low = np.searchsorted(ends, -(-size * SIMILARITY[0] // SIMILARITY[1]))
-    bits = (flat >> np.uint64(4)) & np.uint64(63)
     sketch = np.zeros(n, np.uint64)
-    np.bitwise_xor.at(sketch, owner, np.uint64(1) << bits)
-    info = np.maximum((flat & np.uint64(15)).astype(np.int64) - 3, 0)
+    np.bitwise_xor.at(sketch, owner, np.uint64(1) << ((flat >> np.uint64(4)) & np.uint64(63)))
+    info = np.maximum(-np.log2(np.maximum(counts[counter(flat)], 1) / records), 0.05)
     columns: list[list[np.ndarray]] = [[] for _ in range(4)]
     for g in range(int(low.min()), int(high.max()) + 1):
         inside = (low <= g) & (g <= high)
@@ -132,32 +156,35 @@ def chunk_keys(k1: np.ndarray, k2: np.ndarray, size: np.ndarray, flat: np.ndarra
         chunk = ((flat[own] >> np.uint64(10)) % np.uint64(m)).astype(np.int64)
         slot = place[owner[own]] * m + chunk
         order = np.argsort(slot, kind="stable")
-        slot, token = slot[order], flat[own][order]
-        bounds = np.searchsorted(slot, np.arange(len(rec) * m + 1))
-        whole = _sums(token, bounds)
+        slot, token, bits = slot[order], flat[own][order], info[own][order]
+        whole = _sums(token, np.searchsorted(slot, np.arange(len(rec) * m + 1)))
         salt = mix(np.arange(len(rec) * m, dtype=np.uint64) % np.uint64(m) + np.uint64(g * 1000 + 1))
         with np.errstate(over="ignore"):
             keys = mix(whole + salt)
             cleared = mix(whole[slot] - token + salt[slot])
-        # The chunks the record probes as the smaller one of a pair, in its own group only.
-        weight = np.bincount(slot, weights=info[own][order], minlength=len(rec) * m).reshape(len(rec), m)
-        rank = np.argsort(np.argsort(-weight, axis=1, kind="stable"), axis=1, kind="stable")
-        needed = np.where(high[rec] == g, distance(size[rec]) // 2 + 1, 0)
-        probe = (rank < needed[:, None]).ravel()
-        for column, parts in zip(columns, ((keys, cleared), (np.ones(len(keys), bool), np.zeros(len(cleared), bool)), (probe, probe[slot]), (np.repeat(rec, m), rec[slot // m]))):
+        total = np.bincount(slot, weights=bits, minlength=len(rec) * m)
+        expected = records * 2.0 ** -np.minimum(total, 60)
+        after = 3 * expected + np.bincount(slot, weights=records * 2.0 ** -np.minimum(total[slot] - bits, 60), minlength=len(rec) * m)
+        budget = np.where(high[rec] == g, distance(size[rec]) + 1, 0)
+        errors = allowed_errors(expected.reshape(-1, m), after.reshape(-1, m), budget).ravel()
+        for column, parts in zip(columns, ((keys, cleared), (np.ones(len(keys), bool), np.zeros(len(cleared), bool)), (errors, errors[slot]), (np.repeat(rec, m), rec[slot // m]))):
             column.extend(parts)
-    key, whole, probe, rec = (np.concatenate(c) for c in columns)
-    return [key.view(np.int64), whole, probe, k1[rec], k2[rec], size[rec].astype(np.int32), sketch.view(np.int64)[rec]]
+    key, whole, errors, rec = (np.concatenate(c) for c in columns)
+    return [key.view(np.int64), whole, errors.astype(np.int32), k1[rec], k2[rec], size[rec].astype(np.int32), sketch.view(np.int64)[rec]]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "whole", "probe", "k1", "k2", "size", "sketch"]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4000):
-            part = batch.slice(at, 4000)
-            k1, k2, size = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            flat = part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in chunk_keys(k1, k2, size.astype(np.int64), flat)], names)
+def _keys(counts: np.ndarray, records: int):
+    names = ["key", "whole", "errors", "k1", "k2", "size", "sketch"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                k1, k2, size = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                flat = part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in chunk_keys(k1, k2, size.astype(np.int64), flat, counts, records)], names)
+
+    return work
 
 
 class NearDuplicates:
@@ -177,17 +204,22 @@ class NearDuplicates:
 
     def _links(self) -> DataFrame:
         num, den = SIMILARITY
-        keys = self.classes.select("k1", "k2", "size", "tokens").mapInArrow(_keys, KEYS)
-        a, b = keys.filter("whole").alias("a"), keys.alias("b")
+        counts = np.zeros(COUNTERS, np.int64)
+        # At most COUNTERS rows, whatever the collection.
+        for row in self.classes.select("tokens").mapInArrow(_counts, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n")).collect():
+            counts[row[0]] = row[1]
+        work = _keys(counts, max(1, self.classes.count()))
+        keys = lambda: self.classes.select("k1", "k2", "size", "tokens").mapInArrow(work, KEYS)
+        # A cleared bit is allowed on one side only, and only where the probe allows an error.
+        a = keys().filter(F.when(F.col("whole"), F.col("errors") >= 0).otherwise(F.col("errors") >= 1)).alias("a")
+        b = keys().drop("errors").alias("b")
         c = lambda side, name: F.col(f"{side}.{name}")
         rank = lambda s: F.struct(c(s, "size"), c(s, "k1"), c(s, "k2"))
-        a_first = rank("a") < rank("b")
-        probed = F.when(a_first, c("a", "probe")).otherwise(c("b", "probe"))
+        one = c("b", "whole") | (c("a", "whole") & (c("a", "errors") >= 1))
         close = F.bit_count(c("a", "sketch").bitwiseXOR(c("b", "sketch"))) * (num + den) <= (den - num) * (c("a", "size") + c("b", "size"))
-        sized = (c("a", "size") * den >= num * c("b", "size")) & (c("b", "size") * den >= num * c("a", "size"))
-        once = ~c("b", "whole") & (rank("a") != rank("b")) | c("b", "whole") & a_first
-        met = a.join(b, (c("a", "key") == c("b", "key")) & sized & close & once & probed)
-        pairs = met.select(*(F.when(a_first, c("a", k)).otherwise(c("b", k)).alias(f"{k}_a") for k in ("k1", "k2")), *(F.when(a_first, c("b", k)).otherwise(c("a", k)).alias(f"{k}_b") for k in ("k1", "k2"))).distinct()
+        sized = c("a", "size") * den >= num * c("b", "size")
+        met = a.join(b, (c("a", "key") == c("b", "key")) & one & sized & close & (rank("a") < rank("b")))
+        pairs = met.select(*(c(s, k).alias(f"{k}_{s}") for s in "ab" for k in ("k1", "k2"))).distinct()
         sides = [self.classes.select(F.col("k1").alias(f"k1_{s}"), F.col("k2").alias(f"k2_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
         both = pairs.join(sides[0], ["k1_a", "k2_a"]).join(sides[1], ["k1_b", "k2_b"])
         shared, joined = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
