@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from corpuscle.functions import runs
 
 #: Labelled documents and units of them that a model is fitted on.
-MOST_LABELLED, MOST_UNITS = 12_000, 40_000
+MOST_LABELLED, MOST_UNITS = 12_000, 30_000
 #: Landmarks, bits of a feature's hash, cost of a gap, regularization.
 LANDMARKS, BITS, DECAY, RIDGE = 400, 13, 0.6, 1e-3
+#: Characters of text taken at once.
+SLICE = 500_000
 #: Units below this length count as this long.
 SHORTEST = 40
 #: Parts of cross-fitting, rounds of choosing units, share of documents labelled 0 that chosen units rise above.
@@ -195,9 +197,16 @@ class Units:
     """The units of labelled documents as hashed feature rows."""
 
     def __init__(self, texts: list[str], bits: int = BITS):
-        cp, begin, self.owner = units(texts)
-        self.bits, self.n = bits, len(begin)
-        self.text, self.first, self.ends = _padded(cp, begin)
+        self.bits = bits
+        parts: list[tuple] = []
+        at = 0
+        for low, own in runs.slices(texts, SLICE):
+            cp, begin, owner = units(own)
+            text, first, ends = _padded(cp, begin)
+            parts.append((text, first + at, ends + at, owner + low))
+            at += len(text)
+        self.text, self.first, self.ends, self.owner = (np.concatenate(p) for p in zip(*parts))
+        self.n = len(self.first)
         self.norms = norms(self.ends - self.first - 4)
 
     def rows(self, which: np.ndarray) -> np.ndarray:
@@ -211,25 +220,40 @@ class Units:
             out += np.bincount((row[: len(h)] << self.bits) + (h >> np.uint32(1)), np.where(begins[: len(h)], np.where(h & np.uint32(1), -weight, weight), 0.0), len(out))
         return (out.reshape(len(which), -1) / self.norms[which][:, None]).astype(np.float32)
 
-    def kernel(self, which: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-        """k(unit, landmark) of some units."""
-        marks = self.rows(landmarks).T.copy()
-        return np.concatenate([self.rows(which[a : a + 256]) @ marks for a in range(0, len(which), 256)])
+    def kernel(self, which: np.ndarray, landmarks: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
+        """k(unit, landmark) of some units, times ``then``."""
+        marks = self.rows(landmarks).T
+        marks = np.ascontiguousarray(marks if then is None else marks @ then, dtype=np.float32)
+        out = np.empty((len(which), marks.shape[1]), np.float32)
+        for a in range(0, len(which), 128):
+            out[a : a + 128] = self.rows(which[a : a + 128]) @ marks
+        return out
 
     def scores(self, table: np.ndarray) -> np.ndarray:
         """The decision of all units, without bias."""
-        return _decisions(self.text, self.first, self.ends, table)
-
-
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, start: np.ndarray | None = None, steps: int = 6) -> np.ndarray:
-    """The primal SVM of weighted rows by Newton steps; the last coefficient is the bias."""
-    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
-    w = np.zeros(a.shape[1]) if start is None else start
-    penalty = np.append(np.full(x.shape[1], ridge), ridge * 1e-3)
+        cuts = [*np.searchsorted(self.ends, np.arange(0, len(self.text), SLICE)).tolist(), self.n]
+        parts = []
+        for low, high in zip(cuts, cuts[1:]):
+            if low < high:
+                at = self.first[low]
+                parts.append(_decisions(self.text[at : self.ends[high - 1]], self.first[low:high] - at, self.ends[low:high] - at, table))
+        return np.concatenate(parts)
+
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, start: np.ndarray | None = None, steps: int = 6, block: int = 4096) -> np.ndarray:
+    """The primal SVM of weighted rows by Newton steps, summed over blocks of rows; the last coefficient is the bias."""
+    n = x.shape[1] + 1
+    w = np.zeros(n) if start is None else start
+    penalty = np.append(np.full(n - 1, ridge), ridge * 1e-3)
     for _ in range(steps):
-        active = y * (a @ w) < 1
-        own, target, mass = a[active], y[active], weight[active]
-        new = np.linalg.solve(own.T @ (own * mass[:, None]) + np.diag(penalty), own.T @ (mass * target))
+        second, first = np.diag(penalty), np.zeros(n)
+        for at in range(0, len(x), block):
+            a = np.concatenate([x[at : at + block], np.ones((len(x[at : at + block]), 1))], axis=1)
+            active = y[at : at + block] * (a @ w) < 1
+            mass = weight[at : at + block] * active
+            second += a.T @ (a * mass[:, None])
+            first += a.T @ (mass * y[at : at + block])
+        new = np.linalg.solve(second, first)
         if np.abs(new - w).max() < 1e-5:
             return new
         w = new
@@ -275,7 +299,7 @@ def fit(texts: list[str], labels: np.ndarray, most_units: int = MOST_UNITS, land
         marks = np.unique(np.concatenate([half, hard, random.permutation(zero)[: landmarks // 4]]))
         values, vectors = np.linalg.eigh(own.kernel(marks, marks).astype(np.float64) + 1e-6 * np.eye(len(marks)))
         root = (vectors / np.sqrt(np.maximum(values, 1e-8))) @ vectors.T
-        mapped = (own.kernel(work, marks) @ root).astype(np.float32)
+        mapped = own.kernel(work, marks, root)
         known, part = bad[work], fold[work]
         w = None
         # Twice by turn: the units chosen by the first pass teach the second.
@@ -333,7 +357,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in runs.slices(batch.column(2).to_pylist(), 1_000_000):
+            for first, texts in runs.slices(batch.column(2).to_pylist(), SLICE):
                 found = document_scores(texts, table, bias)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(np.round(found, 6)), pa.array(found > 0)], ["doc_id", "source", "score", "flagged"])
 
