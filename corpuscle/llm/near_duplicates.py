@@ -32,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.runs import slices, words
-from corpuscle.session import store
 
 #: The threshold as numerator and denominator: shared / joined >= 3/4.
 SIMILARITY = (3, 4)
@@ -49,8 +49,10 @@ RATIO = 2.25
 COUNTERS, SLICE = 1 << 18, 500_000
 
 BAGS = "id string, k1 bigint, k2 bigint, size int, tokens array<bigint>"
-#: ``whole``: no bit cleared; ``errors``: the allowed errors of a probe, -1 for none.
-KEYS = "key bigint, whole boolean, errors int, k1 bigint, k2 bigint, size int, sketch bigint"
+#: ``facts`` packs, from the lowest bit: a key of no cleared bit, the allowed errors of a probe + 1, the size (at most ``MOST_SIZE``) and a sketch.
+KEYS = "key bigint, k1 bigint, facts bigint"
+#: Bits of a token, of a key and of the parity sketch; the largest size told apart before the exact check.
+TOKEN_BITS, KEY_BITS, SKETCH_BITS, MOST_SIZE = 52, 48, 40, (1 << 19) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,7 +91,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     occurrence = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
     with np.errstate(over="ignore"):
         token = mix(hashes[code] + (occurrence + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return owner, token
+    return owner, token >> np.uint64(64 - TOKEN_BITS)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,28 +100,43 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, texts in slices(batch.column(1).to_pylist(), SLICE):
-            owner, token = tokens(texts)
-            size = np.bincount(owner, minlength=len(texts))
-            bounds = np.concatenate([[0], np.cumsum(size)])
-            k1, k2 = _sums(mix(token), bounds), _sums(mix(token ^ np.uint64(0xD6E8FEB86659FD93)), bounds)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token.view(np.int64)))
-            out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), lists], ["id", "k1", "k2", "size", "tokens"])
-            yield out.filter(pa.array(size > 0))
+def _bags(first_only: bool):
+    """The multisets of texts; with ``first_only`` one row per multiset and slice, of the smallest id."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column(1).to_pylist(), SLICE):
+                owner, token = tokens(texts)
+                size = np.bincount(owner, minlength=len(texts))
+                bounds = np.concatenate([[0], np.cumsum(size)])
+                # Sums over mixed tokens: equal multisets have equal sums.
+                k1, k2 = _sums(mix(token), bounds), _sums(mix(token ^ np.uint64(0xD6E8FEB86659FD93)), bounds)
+                ids = batch.column(0).slice(first, len(texts))
+                use = size > 0
+                if first_only:
+                    order = np.lexsort((pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy(), k2, k1))
+                    again = np.zeros(len(texts), bool)
+                    again[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
+                    use &= ~again
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token.view(np.int64)))
+                out = pa.RecordBatch.from_arrays([ids, pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), lists], ["id", "k1", "k2", "size", "tokens"])
+                yield out.filter(pa.array(use))
+
+    return work
 
 
 def counter(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(20)).astype(np.int64) % COUNTERS
+    return (mix(token) >> np.uint64(20)).astype(np.int64) % COUNTERS
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
+    total, records = np.zeros(COUNTERS, np.int64), 0
     for batch in batches:
+        records += batch.num_rows
         total += np.bincount(counter(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)), minlength=COUNTERS)
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+    # The records are counted along, as counter -1.
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], records))], ["counter", "n"])
 
 
 def allowed_errors(weight: np.ndarray, cleared: np.ndarray, budget: np.ndarray) -> np.ndarray:
@@ -134,7 +151,7 @@ def allowed_errors(weight: np.ndarray, cleared: np.ndarray, budget: np.ndarray)
     return taken[:, :m].astype(np.int32) + taken[:, m:] - 1
 
 
-def chunk_keys(k1: np.ndarray, k2: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.ndarray, records: int) -> list[np.ndarray]:
+def chunk_keys(k1: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.ndarray, records: int) -> list[np.ndarray]:
     """The columns of ``KEYS`` for records whose tokens lie in ``flat`` one after another."""
     n = len(size)
     owner = np.repeat(np.arange(n), size)
@@ -142,7 +159,8 @@ def chunk_keys(k1: np.ndarray, k2: np.ndarray, size: np.ndarray, flat: np.ndarra
     high = np.searchsorted(ends, size)
     low = np.searchsorted(ends, -(-size * SIMILARITY[0] // SIMILARITY[1]))
     sketch = np.zeros(n, np.uint64)
-    np.bitwise_xor.at(sketch, owner, np.uint64(1) << ((flat >> np.uint64(4)) & np.uint64(63)))
+    mixed = mix(flat)
+    np.bitwise_xor.at(sketch, owner, np.uint64(1) << (mixed % np.uint64(SKETCH_BITS)))
     info = np.maximum(-np.log2(np.maximum(counts[counter(flat)], 1) / records), 0.05)
     columns: list[list[np.ndarray]] = [[] for _ in range(4)]
     for g in range(int(low.min()), int(high.max()) + 1):
@@ -153,10 +171,10 @@ def chunk_keys(k1: np.ndarray, k2: np.ndarray, size: np.ndarray, flat: np.ndarra
         m = int(distance(int(ends[g]))) // 2 + 1
         place = np.cumsum(inside) - 1
         own = np.flatnonzero(inside[owner])
-        chunk = ((flat[own] >> np.uint64(10)) % np.uint64(m)).astype(np.int64)
+        chunk = ((mixed[own] >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
         slot = place[owner[own]] * m + chunk
         order = np.argsort(slot, kind="stable")
-        slot, token, bits = slot[order], flat[own][order], info[own][order]
+        slot, token, bits = slot[order], mixed[own][order], info[own][order]
         whole = _sums(token, np.searchsorted(slot, np.arange(len(rec) * m + 1)))
         salt = mix(np.arange(len(rec) * m, dtype=np.uint64) % np.uint64(m) + np.uint64(g * 1000 + 1))
         with np.errstate(over="ignore"):
@@ -170,19 +188,24 @@ def chunk_keys(k1: np.ndarray, k2: np.ndarray, size: np.ndarray, flat: np.ndarra
         for column, parts in zip(columns, ((keys, cleared), (np.ones(len(keys), bool), np.zeros(len(cleared), bool)), (errors, errors[slot]), (np.repeat(rec, m), rec[slot // m]))):
             column.extend(parts)
     key, whole, errors, rec = (np.concatenate(c) for c in columns)
-    return [key.view(np.int64), whole, errors.astype(np.int32), k1[rec], k2[rec], size[rec].astype(np.int32), sketch.view(np.int64)[rec]]
+    facts = whole.astype(np.int64) | (errors.astype(np.int64) + 1) << 1 | np.minimum(size, MOST_SIZE)[rec] << 3 | sketch.astype(np.int64)[rec] << 22
+    return [(key >> np.uint64(64 - KEY_BITS)).view(np.int64), k1[rec], facts]
 
 
-def _keys(counts: np.ndarray, records: int):
-    names = ["key", "whole", "errors", "k1", "k2", "size", "sketch"]
+def _keys(counts: np.ndarray, records: int, role: str):
+    """The keys of records as ``probe`` or as ``index``: a probe has only keys that may meet others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                k1, k2, size = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                k1, size = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
                 flat = part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in chunk_keys(k1, k2, size.astype(np.int64), flat, counts, records)], names)
+                key, owner, facts = chunk_keys(k1, size.astype(np.int64), flat, counts, records)
+                if role == "probe":
+                    use = (facts >> 1 & 3) >= np.where(facts & 1, 1, 2)
+                    key, owner, facts = key[use], owner[use], facts[use]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(facts)], ["key", "k1", "facts"])
 
     return work
 
@@ -196,34 +219,36 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, id_column: str = "id", text_column: str = "text"):
         own = records.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
-        bags = store(own.mapInArrow(_bags, BAGS), "bags")
+        bags = own.mapInArrow(_bags(False), BAGS)
         once = Window.partitionBy("k1", "k2").orderBy("id")
         self.members = bags.select("id", "k1", "k2").distinct()
-        self.classes = store(bags.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n"), "bag-classes")
-        self.links = self._links()
+        # Copies are merged in each slice before the shuffle, so a text that a third of the records share is no hot key.
+        # All uses take the same columns: they share this one shuffle, and it serves the check of pairs, too.
+        self.classes = own.mapInArrow(_bags(True), BAGS).filter("k1 is not null and k2 is not null").repartition("k1").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+        self.links = self._links(bags)
 
-    def _links(self) -> DataFrame:
+    def _links(self, bags: DataFrame) -> DataFrame:
         num, den = SIMILARITY
-        counts = np.zeros(COUNTERS, np.int64)
-        # At most COUNTERS rows, whatever the collection.
-        for row in self.classes.select("tokens").mapInArrow(_counts, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n")).collect():
+        counts = np.zeros(COUNTERS + 1, np.int64)
+        # At most COUNTERS + 1 rows, whatever the collection.
+        for row in bags.select("tokens").mapInArrow(_counts, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n")).collect():
             counts[row[0]] = row[1]
-        work = _keys(counts, max(1, self.classes.count()))
-        keys = lambda: self.classes.select("k1", "k2", "size", "tokens").mapInArrow(work, KEYS)
+        own = self.classes.select("k1", "k2", "size", "tokens")
+        a, b = (own.mapInArrow(_keys(counts[:-1], max(1, int(counts[-1])), role), KEYS).alias(side) for role, side in (("probe", "a"), ("index", "b")))
+        fact = lambda side, at, bits: F.shiftright(f"{side}.facts", at).bitwiseAND(F.lit((1 << bits) - 1))
+        size = lambda side: fact(side, 3, 19)
         # A cleared bit is allowed on one side only, and only where the probe allows an error.
-        a = keys().filter(F.when(F.col("whole"), F.col("errors") >= 0).otherwise(F.col("errors") >= 1)).alias("a")
-        b = keys().drop("errors").alias("b")
-        c = lambda side, name: F.col(f"{side}.{name}")
-        rank = lambda s: F.struct(c(s, "size"), c(s, "k1"), c(s, "k2"))
-        one = c("b", "whole") | (c("a", "whole") & (c("a", "errors") >= 1))
-        close = F.bit_count(c("a", "sketch").bitwiseXOR(c("b", "sketch"))) * (num + den) <= (den - num) * (c("a", "size") + c("b", "size"))
-        sized = c("a", "size") * den >= num * c("b", "size")
-        met = a.join(b, (c("a", "key") == c("b", "key")) & one & sized & close & (rank("a") < rank("b")))
-        pairs = met.select(*(c(s, k).alias(f"{k}_{s}") for s in "ab" for k in ("k1", "k2"))).distinct()
-        sides = [self.classes.select(F.col("k1").alias(f"k1_{s}"), F.col("k2").alias(f"k2_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
-        both = pairs.join(sides[0], ["k1_a", "k2_a"]).join(sides[1], ["k1_b", "k2_b"])
-        shared, joined = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
-        return both.filter(shared * (num + den) >= num * joined).select("k1_a", "k2_a", "k1_b", "k2_b")
+        one = (fact("b", 0, 1) == 1) | ((fact("a", 0, 1) == 1) & (fact("a", 1, 2) == 2))
+        sketch = F.shiftrightunsigned(F.col("a.facts").bitwiseXOR(F.col("b.facts")), 22)
+        close = (F.bit_count(sketch) * (num + den) <= (den - num) * (size("a") + size("b"))) | (size("b") == MOST_SIZE)
+        sized = (size("a") * den >= num * size("b")) & (size("a") <= size("b"))
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & one & sized & close & (F.col("a.k1") != F.col("b.k1")))
+        pairs = met.select(F.least("a.k1", "b.k1").alias("k1_a"), F.greatest("a.k1", "b.k1").alias("k1_b")).distinct()
+        # Classes that share k1 by chance all come along here; each is checked by its own tokens.
+        sides = [own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns)) for s in "ab"]
+        both = pairs.join(sides[0], "k1_a").join(sides[1], "k1_b")
+        shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        return both.filter(shared * (num + den) >= num * (F.col("size_a") + F.col("size_b"))).select("k1_a", "k2_a", "k1_b", "k2_b")
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), smaller id first: all pairs, copies included."""
