@@ -6,16 +6,19 @@ the size of the symmetric difference of their multisets. A similarity (shared by
 joined words) of at least ``SIMILARITY`` = 3/4 means a distance of at most
 (a + b) / 7 for sizes a <= b, and b <= 4a/3.
 
-The signature is split by place into chunks. For a distance of D, any allowed errors
-t_c per chunk with a sum of (t_c + 1) above D leave one chunk that differs by at most
-t_c bits (generalised pigeonhole); t_c is -1 (the chunk isn't probed), 0 or 1. The
-smaller record of a pair probes. It spends its D + 1 where that meets the fewest
-other records, by the frequencies of its words in the whole collection, counted in a
-fixed number of hashed counters. Errors are enumerated by clearing set bits: a chunk
-differs by one bit if it equals the other after clearing one bit of either. A key is
-the sum of a chunk's token hashes, so clearing a bit is a subtraction. No pair above
-the threshold is lost, whatever the data and the counters; a parity sketch and an
-exact count drop the rest.
+The signature is split by place into chunks, and errors are enumerated on the index
+side by clearing one bit of a chunk. Let a pair's smaller record have x bits the
+larger one lacks, and the larger one y others. In a chunk with x_c and y_c of them,
+the smaller record's chunk equals the larger one's if x_c + y_c = 0, and equals it
+after one cleared bit if x_c = 0 and y_c = 1. So a chunk probed for equality fails at
+a cost of 1 or more of 2x + y, one probed for one cleared bit at 2 or more
+(generalised pigeonhole): probes worth more than the largest 2x + y that the
+threshold allows for the record's size meet every partner. The record spends them
+where they meet the fewest other records, by the frequencies of its words in the
+whole collection, counted in a fixed number of hashed counters. A key is the sum of a
+chunk's token hashes, so clearing a bit is a subtraction. No pair above the threshold
+is lost, whatever the data and the counters; a parity sketch and an exact count drop
+the rest.
 
 Records with equal multisets are one class; only one row per class takes part in
 the join. Sizes fall into groups with a chunk count each; a record takes part in
@@ -52,7 +55,7 @@ BAGS = "id string, k1 bigint, k2 bigint, size int, tokens array<bigint>"
 #: ``facts`` packs, from the lowest bit: a key of no cleared bit, the allowed errors of a probe + 1, the size (at most ``MOST_SIZE``) and a sketch.
 KEYS = "key bigint, k1 bigint, facts bigint"
 #: Bits of a token, of a key and of the parity sketch; the largest size told apart before the exact check.
-TOKEN_BITS, KEY_BITS, SKETCH_BITS, MOST_SIZE = 52, 48, 40, (1 << 19) - 1
+TOKEN_BITS, KEY_BITS, SKETCH_BITS, MOST_SIZE = 52, 44, 40, (1 << 19) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,12 +73,17 @@ def group_ends(largest: int) -> np.ndarray:
     return np.array(ends)
 
 
-def distance(size: np.ndarray | int):
-    """The largest distance of a record of ``size`` from a record at least as large."""
+def needed(size: np.ndarray | int) -> np.ndarray:
+    """One more than the largest 2x + y of a record of ``size`` with a record at least as large above the threshold."""
     num, den = SIMILARITY
-    larger = size * den // num
-    # common >= num/(num+den) (a+b), so errors = a + b - 2 common <= (den-num)/(num+den) (a+b).
-    return (den - num) * (size + larger) // (num + den)
+    a = np.asarray(size, dtype=np.int64)
+    out = np.zeros(a.shape, np.int64)
+    # With y = x + b - a, errors x + y <= (den-num)/(num+den) (a+b) leave x <= (bound - (b - a)) / 2.
+    for more in range(int(a.max(initial=0)) * (den - num) // num + 1):
+        x = ((den - num) * (2 * a + more) // (num + den) - more) // 2
+        possible = (x >= 0) & ((a + more) * num <= a * den)
+        out = np.where(possible, np.maximum(out, 3 * x + more), out)
+    return out + 1
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +150,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def allowed_errors(weight: np.ndarray, cleared: np.ndarray, budget: np.ndarray) -> np.ndarray:
     """t (records x chunks, -1 to 1) with a sum of t + 1 of at least ``budget``, at the least expected cost.
 
-    ``weight``: records expected to share the chunk; ``cleared``: to share it after clearing one bit of either.
+    t is -1 for a chunk that isn't probed, 0 for equality, 1 for one cleared bit.
+    ``weight``: records expected to share the chunk; ``cleared``: to share it after clearing one bit.
     """
     step0, m = weight + 1e-2, weight.shape[1]
     step1 = np.maximum(cleared + 5e-2, step0)
@@ -162,13 +171,14 @@ def chunk_keys(k1: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.nd
     mixed = mix(flat)
     np.bitwise_xor.at(sketch, owner, np.uint64(1) << (mixed % np.uint64(SKETCH_BITS)))
     info = np.maximum(-np.log2(np.maximum(counts[counter(flat)], 1) / records), 0.05)
+    needs = needed(np.arange(int(size.max()) + 1))
     columns: list[list[np.ndarray]] = [[] for _ in range(4)]
     for g in range(int(low.min()), int(high.max()) + 1):
         inside = (low <= g) & (g <= high)
         rec = np.flatnonzero(inside)
         if not len(rec):
             continue
-        m = int(distance(int(ends[g]))) // 2 + 1
+        m = -(-int(needed(int(ends[g]))) // 2)
         place = np.cumsum(inside) - 1
         own = np.flatnonzero(inside[owner])
         chunk = ((mixed[own] >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
@@ -182,9 +192,9 @@ def chunk_keys(k1: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.nd
             cleared = mix(whole[slot] - token + salt[slot])
         total = np.bincount(slot, weights=bits, minlength=len(rec) * m)
         expected = records * 2.0 ** -np.minimum(total, 60)
-        after = 3 * expected + np.bincount(slot, weights=records * 2.0 ** -np.minimum(total[slot] - bits, 60), minlength=len(rec) * m)
-        budget = np.where(high[rec] == g, distance(size[rec]) + 1, 0)
-        errors = allowed_errors(expected.reshape(-1, m), after.reshape(-1, m), budget).ravel()
+        budget = np.where(high[rec] == g, needs[size[rec]], 0)
+        # A chunk with one bit more is about as frequent as three without it.
+        errors = allowed_errors(expected.reshape(-1, m), 3 * expected.reshape(-1, m), budget).ravel()
         for column, parts in zip(columns, ((keys, cleared), (np.ones(len(keys), bool), np.zeros(len(cleared), bool)), (errors, errors[slot]), (np.repeat(rec, m), rec[slot // m]))):
             column.extend(parts)
     key, whole, errors, rec = (np.concatenate(c) for c in columns)
@@ -193,7 +203,7 @@ def chunk_keys(k1: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.nd
 
 
 def _keys(counts: np.ndarray, records: int, role: str):
-    """The keys of records as ``probe`` or as ``index``: a probe has only keys that may meet others."""
+    """The keys of records as ``probe`` (of whole chunks that are probed) or as ``index`` (of all, and with one bit cleared)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +213,7 @@ def _keys(counts: np.ndarray, records: int, role: str):
                 flat = part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 key, owner, facts = chunk_keys(k1, size.astype(np.int64), flat, counts, records)
                 if role == "probe":
-                    use = (facts >> 1 & 3) >= np.where(facts & 1, 1, 2)
+                    use = (facts & 1 == 1) & (facts >> 1 & 3 >= 1)
                     key, owner, facts = key[use], owner[use], facts[use]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(facts)], ["key", "k1", "facts"])
 
@@ -221,7 +231,7 @@ class NearDuplicates:
         own = records.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
         bags = own.mapInArrow(_bags(False), BAGS)
         once = Window.partitionBy("k1", "k2").orderBy("id")
-        self.members = bags.select("id", "k1", "k2").distinct()
+        self.members = bags.select("id", "k1", "k2").filter("id is not null and k1 is not null and k2 is not null").distinct()
         # Copies are merged in each slice before the shuffle, so a text that a third of the records share is no hot key.
         # All uses take the same columns: they share this one shuffle, and it serves the check of pairs, too.
         self.classes = own.mapInArrow(_bags(True), BAGS).filter("k1 is not null and k2 is not null").repartition("k1").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
@@ -237,8 +247,8 @@ class NearDuplicates:
         a, b = (own.mapInArrow(_keys(counts[:-1], max(1, int(counts[-1])), role), KEYS).alias(side) for role, side in (("probe", "a"), ("index", "b")))
         fact = lambda side, at, bits: F.shiftright(f"{side}.facts", at).bitwiseAND(F.lit((1 << bits) - 1))
         size = lambda side: fact(side, 3, 19)
-        # A cleared bit is allowed on one side only, and only where the probe allows an error.
-        one = (fact("b", 0, 1) == 1) | ((fact("a", 0, 1) == 1) & (fact("a", 1, 2) == 2))
+        # A cleared bit is allowed only where the probe allows an error.
+        one = (fact("b", 0, 1) == 1) | (fact("a", 1, 2) == 2)
         sketch = F.shiftrightunsigned(F.col("a.facts").bitwiseXOR(F.col("b.facts")), 22)
         close = (F.bit_count(sketch) * (num + den) <= (den - num) * (size("a") + size("b"))) | (size("b") == MOST_SIZE)
         sized = (size("a") * den >= num * size("b")) & (size("a") <= size("b"))
