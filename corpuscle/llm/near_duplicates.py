@@ -32,12 +32,13 @@ the records take no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.runs import slices, words
@@ -220,6 +221,15 @@ def _keys(counts: np.ndarray, records: int, role: str):
     return work
 
 
+#: The first bits of tokens that the parity sketches of the check of pairs take.
+PARITIES = (0, 6)
+
+
+def _parity(at: int) -> Column:
+    """A parity sketch of 64 bits by six bits of each token; two differ in no more bits than their multisets in tokens."""
+    return F.aggregate("tokens", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, at).bitwiseAND(F.lit(63)).cast("int"))))
+
+
 class NearDuplicates:
     """The classes of equal multisets and the links between classes.
 
@@ -254,9 +264,13 @@ class NearDuplicates:
         sized = (size("a") * den >= num * size("b")) & (size("a") <= size("b"))
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & one & sized & close & (F.col("a.k1") != F.col("b.k1")))
         pairs = met.select(F.least("a.k1", "b.k1").alias("k1_a"), F.greatest("a.k1", "b.k1").alias("k1_b")).distinct()
-        # Classes that share k1 by chance all come along here; each is checked by its own tokens.
-        sides = [own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns)) for s in "ab"]
-        both = pairs.join(sides[0], "k1_a").join(sides[1], "k1_b")
+        # Classes that share k1 by chance all come along here; each is checked by its own tokens. Before tokens travel,
+        # two more parity sketches drop most pairs that the exact check would drop.
+        side = lambda s, *more: own.select(F.col("k1").alias(f"k1_{s}"), F.col("size").alias(f"size_{s}"), *(_parity(at).alias(f"p{at}_{s}") for at in PARITIES), *(F.col(c).alias(f"{c}_{s}") for c in more))
+        bound = (den - num) * (F.col("size_a") + F.col("size_b"))
+        likely = reduce(lambda x, y: x & y, (F.bit_count(F.col(f"p{at}_a").bitwiseXOR(F.col(f"p{at}_b"))) * (num + den) <= bound for at in PARITIES))
+        narrow = pairs.join(side("a"), "k1_a").join(side("b", "k2", "tokens"), "k1_b").filter(likely).select("k1_a", "k1_b", "k2_b", "size_b", "tokens_b")
+        both = narrow.join(own.select(*(F.col(c).alias(f"{c}_a") for c in own.columns)), "k1_a")
         shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.filter(shared * (num + den) >= num * (F.col("size_a") + F.col("size_b"))).select("k1_a", "k2_a", "k1_b", "k2_b")
 
@@ -264,8 +278,9 @@ class NearDuplicates:
         """(id_a, id_b), smaller id first: all pairs, copies included."""
         m = lambda s: self.members.select(F.col("id").alias(f"id_{s}"), F.col("k1").alias(f"k1_{s}"), F.col("k2").alias(f"k2_{s}"))
         linked = self.links.join(m("a"), ["k1_a", "k2_a"]).join(m("b"), ["k1_b", "k2_b"]).select("id_a", "id_b")
-        a, b = self.members.alias("a"), self.members.alias("b")
-        copies = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+        # Of the same shape as above, so that both take one shuffle of the members.
+        same = m("a").join(m("b"), (F.col("k1_a") == F.col("k1_b")) & (F.col("k2_a") == F.col("k2_b")) & (F.col("id_a") < F.col("id_b")))
+        copies = same.select("id_a", "id_b")
         return linked.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).unionByName(copies)
 
     def membership(self) -> DataFrame:
