@@ -49,7 +49,7 @@ OPENING = {
     "zh": "此外 我们 实际 结果 根据 然而 差距 为什么 并非 提升 这 见 在 因此 但是 本文 首先 其次 最后".split(),
 }
 JOINING = {"th": "และ หรือ ของ ที่ ใน กับ ว่า เพื่อ โดย ซึ่ง จาก เพราะ แต่ เมื่อ ถ้า".split(), "ja": [], "zh": []}
-QUOTING = {"ja": "と って という といった など の は が を に も で へ や".split(), "zh": "写道 说 表示 指出 的 地 这 一词 等 和 与 是 为 ， 、 。".split()}
+QUOTING = {"ja": "と って という といった など の は が を に も で へ や".split(), "zh": "写道 说 表示 指出 的 地 一词 等 和 与 是 为 ， 、 。".split()}
 FINAL = {"th": "ครับ ค่ะ คะ นะ ไหม หรือไม่ แล้ว".split(), "ja": "です ます した する いる ある ない だ か ね よ".split(), "zh": "了 吗 呢 吧 的".split()}
 
 _OPEN, _CLOSE = "“„«「『([（【‘‹", "”»」』)]）】›"
