@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import lexicons as L
@@ -26,7 +26,7 @@ def is_complete(c: Column | str) -> Column:
     c = F.trim(F.coalesce(col_of(c), F.lit("")))
     core = F.regexp_replace(c, "[\"'”’)\\]}» ]+\\z", "")
     body = F.regexp_replace(core, r"[.!?]\z", "")
-    last = F.lower(F.regexp_extract(body, r"(?U)([\w'-]+)[^\w'-]*\z", 1))
+    last = F.lower(F.regexp_extract(body, r"(?<![\p{L}\p{M}\p{N}_'-])([\p{L}\p{M}\p{N}_'-]++)[^\p{L}\p{M}\p{N}_'-]*+\z", 1))
     return (F.char_length(c) >= 20) & (word_count(c) >= 5) & ~c.rlike(r"^\p{Ll}") & core.rlike(r"[.!?]\z") & ~core.rlike(r"(?:\.\.\.|…)\z") & (last != "") & ~last.isin(L.TRAILING_WORDS)
 
 
@@ -45,22 +45,27 @@ def on_token_borders(text: Column, start: Column, end: Column) -> Column:
 def metric(c: Column | str) -> Column:
     """struct(name, value): the first metric with a number, or number with a metric; else a percentage alone."""
     c = F.lower(col_of(c))
-    group = lambda i: F.nullif(F.regexp_extract(c, EITHER, i), F.lit(""))
-    key = lambda v: F.regexp_replace(v, "[- ]", "")
     names = words_in([n.replace("-", "").replace(" ", "") for n in L.METRIC_NAMES])
-    known = lambda v: F.when(F.array_contains(names, key(v)), v)
-    number = F.coalesce(group(2), group(3)).try_cast("double")
-    value = F.when((number > 0) & (number <= 100), number)
-    name = F.coalesce(known(group(5)), known(group(1)))
     percent = F.nullif(F.regexp_extract(c, PERCENT, 1), F.lit("")).try_cast("double")
-    return F.when(name.isNotNull() | value.isNotNull(), F.struct(name.alias("name"), value.alias("value"))).otherwise(F.struct(F.lit(None).cast("string").alias("name"), percent.alias("value")))
+
+    def parts(match: Column) -> Column:
+        group = lambda i: F.nullif(F.regexp_extract(match, EITHER, i), F.lit(""))
+        known = lambda v: F.when(F.array_contains(names, F.regexp_replace(v, "[- ]", "")), v)
+        number = F.coalesce(group(2), group(3)).try_cast("double")
+        name, value = F.coalesce(known(group(5)), known(group(1))), F.when((number > 0) & (number <= 100), number)
+        return F.struct(name.alias("name"), value.alias("value"))
+
+    # The text is searched once: groups are taken from the match, which is short, and a lambda's variable is evaluated once.
+    found = F.get(F.transform(F.transform(F.array(F.when(c.rlike("[0-9]"), F.regexp_extract(c, EITHER, 0)).otherwise("")), parts), lambda m: F.struct(m["name"].alias("name"), F.when(m["name"].isNotNull() | m["value"].isNotNull(), m["value"]).otherwise(percent).alias("value"))), 0)
+    return found
 
 
 def first_known(c: Column | str, terms: list[str]) -> Column:
     """The longest known term that stands in the text as a word, of equal ones the first by name; null for none."""
     c = F.lower(col_of(c))
     ordered = sorted(terms, key=lambda t: (-len(t), t))
-    return F.coalesce(*(F.when(any_word(c, [t]), F.lit(t)) for t in ordered))
+    # One pass tells the texts without any term, nearly all of them, from the others.
+    return F.when(any_word(c, ordered), F.coalesce(*(F.when(any_word(c, [t]), F.lit(t)) for t in ordered)))
 
 
 def _inflected(verbs: list[str]) -> list[str]:
@@ -97,13 +102,10 @@ def extract_claims(chunks: DataFrame) -> DataFrame:
     A sentence ends at ``.``, ``!`` or ``?`` with its closing marks before white space.
     """
     parts = F.split(F.col("text"), r"(?<=[.!?][\"')\]]{0,3})(?=\s)")
+    rows = chunks.filter("text is not null").select(F.col("id").alias("chunk_id"), "article_id", F.col("char_start").alias("chunk_start"), F.posexplode(parts).alias("n", "raw"))
     # The pieces follow one another without loss, so a running sum of lengths places them.
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.char_length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), p.alias("raw")))).alias("out")),
-    )["out"]
-    rows = chunks.filter("text is not null").select(F.col("id").alias("chunk_id"), "article_id", F.col("char_start").alias("chunk_start"), F.explode(placed).alias("s"))
+    before = Window.partitionBy("chunk_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.char_length("raw")).over(before), F.lit(0)).cast("int")).withColumn("s", F.struct("start", "raw"))
     lead = F.char_length("s.raw") - F.char_length(F.regexp_replace(F.col("s.raw"), r"(?U)^\s+", ""))
     sentence = F.regexp_replace(F.col("s.raw"), r"(?U)^\s+|\s+\z", "")
     found = rows.select("chunk_id", "article_id", "chunk_start", F.col("s.start").alias("sent_start"), (F.col("s.start") + lead).alias("char_start"), sentence.alias("verbatim"))
