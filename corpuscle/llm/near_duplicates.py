@@ -52,11 +52,12 @@ RATIO = 2.25
 #: Hashed counters of words (1 MB) and characters of text taken at once.
 COUNTERS, SLICE = 1 << 18, 500_000
 
-BAGS = "id string, k1 bigint, k2 bigint, size int, tokens array<bigint>"
+#: A token's lower 32 and upper 16 bits; ``h``: the lower bits of k1, by which classes are found.
+BAGS = "id string, h bigint, k1 bigint, k2 bigint, size int, low array<int>, high array<smallint>"
 #: ``facts`` packs, from the lowest bit: a key of no cleared bit, the allowed errors of a probe + 1, the size (at most ``MOST_SIZE``) and a sketch.
-KEYS = "key bigint, k1 bigint, facts bigint"
-#: Bits of a token, of a key and of the parity sketch; the largest size told apart before the exact check.
-TOKEN_BITS, KEY_BITS, SKETCH_BITS, MOST_SIZE = 52, 44, 40, (1 << 19) - 1
+KEYS = "key bigint, h bigint, facts bigint"
+#: Bits of a token, of a key (and of ``h``) and of the parity sketch; the largest size told apart before the exact check.
+TOKEN_BITS, KEY_BITS, SKETCH_BITS, MOST_SIZE = 48, 40, 40, (1 << 19) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,13 +128,22 @@ def _bags(first_only: bool):
                     again = np.zeros(len(texts), bool)
                     again[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
                     use &= ~again
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([ids, pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), lists], ["id", "k1", "k2", "size", "tokens"])
+                at = pa.array(bounds.astype(np.int32))
+                low = pa.ListArray.from_arrays(at, pa.array(token.astype(np.uint32).view(np.int32)))
+                high = pa.ListArray.from_arrays(at, pa.array((token >> np.uint64(32)).astype(np.uint16).view(np.int16)))
+                h = (k1 & np.uint64((1 << KEY_BITS) - 1)).view(np.int64)
+                out = pa.RecordBatch.from_arrays([ids, pa.array(h), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), low, high], ["id", "h", "k1", "k2", "size", "low", "high"])
                 yield out.filter(pa.array(use))
 
     return work
 
 
+def _joined(low: pa.Array, high: pa.Array) -> np.ndarray:
+    """The tokens of two list columns, one after another."""
+    low, high = (c.flatten().to_numpy(zero_copy_only=False) for c in (low, high))
+    return low.view(np.uint32).astype(np.uint64) | high.view(np.uint16).astype(np.uint64) << np.uint64(32)
+
+
 def counter(token: np.ndarray) -> np.ndarray:
     return (mix(token) >> np.uint64(20)).astype(np.int64) % COUNTERS
 
@@ -142,7 +152,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, records = np.zeros(COUNTERS, np.int64), 0
     for batch in batches:
         records += batch.num_rows
-        total += np.bincount(counter(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)), minlength=COUNTERS)
+        total += np.bincount(counter(_joined(batch.column(0), batch.column(1))), minlength=COUNTERS)
     used = np.flatnonzero(total)
     # The records are counted along, as counter -1.
     yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], records))], ["counter", "n"])
@@ -161,7 +171,7 @@ def allowed_errors(weight: np.ndarray, cleared: np.ndarray, budget: np.ndarray)
     return taken[:, :m].astype(np.int32) + taken[:, m:] - 1
 
 
-def chunk_keys(k1: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.ndarray, records: int) -> list[np.ndarray]:
+def chunk_keys(h: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.ndarray, records: int) -> list[np.ndarray]:
     """The columns of ``KEYS`` for records whose tokens lie in ``flat`` one after another."""
     n = len(size)
     owner = np.repeat(np.arange(n), size)
@@ -200,7 +210,7 @@ def chunk_keys(k1: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.nd
             column.extend(parts)
     key, whole, errors, rec = (np.concatenate(c) for c in columns)
     facts = whole.astype(np.int64) | (errors.astype(np.int64) + 1) << 1 | np.minimum(size, MOST_SIZE)[rec] << 3 | sketch.astype(np.int64)[rec] << 22
-    return [(key >> np.uint64(64 - KEY_BITS)).view(np.int64), k1[rec], facts]
+    return [(key >> np.uint64(64 - KEY_BITS)).view(np.int64), h[rec], facts]
 
 
 def _keys(counts: np.ndarray, records: int, role: str):
@@ -210,13 +220,13 @@ def _keys(counts: np.ndarray, records: int, role: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                k1, size = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
-                flat = part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                key, owner, facts = chunk_keys(k1, size.astype(np.int64), flat, counts, records)
+                h, size = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                flat = _joined(part.column(2), part.column(3))
+                key, owner, facts = chunk_keys(h, size.astype(np.int64), flat, counts, records)
                 if role == "probe":
                     use = (facts & 1 == 1) & (facts >> 1 & 3 >= 1)
                     key, owner, facts = key[use], owner[use], facts[use]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(facts)], ["key", "k1", "facts"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(facts)], ["key", "h", "facts"])
 
     return work
 
@@ -226,8 +236,8 @@ PARITIES = (0, 6)
 
 
 def _parity(at: int) -> Column:
-    """A parity sketch of 64 bits by six bits of each token; two differ in no more bits than their multisets in tokens."""
-    return F.aggregate("tokens", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, at).bitwiseAND(F.lit(63)).cast("int"))))
+    """A parity sketch of 64 bits by six of the lower bits of each token; two differ in no more bits than their multisets in tokens."""
+    return F.aggregate("low", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, at).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 class NearDuplicates:
@@ -243,17 +253,17 @@ class NearDuplicates:
         once = Window.partitionBy("k1", "k2").orderBy("id")
         self.members = bags.select("id", "k1", "k2").filter("id is not null and k1 is not null and k2 is not null").distinct()
         # Copies are merged in each slice before the shuffle, so a text that a third of the records share is no hot key.
-        # All uses take the same columns: they share this one shuffle, and it serves the check of pairs, too.
-        self.classes = own.mapInArrow(_bags(True), BAGS).filter("k1 is not null and k2 is not null").repartition("k1").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+        # All uses take the same columns: they share this one shuffle, and by ``h`` it serves the check of pairs, too.
+        self.classes = own.mapInArrow(_bags(True), BAGS).filter("k1 is not null and k2 is not null").repartition("h").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
         self.links = self._links(bags)
 
     def _links(self, bags: DataFrame) -> DataFrame:
         num, den = SIMILARITY
         counts = np.zeros(COUNTERS + 1, np.int64)
         # At most COUNTERS + 1 rows, whatever the collection.
-        for row in bags.select("tokens").mapInArrow(_counts, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n")).collect():
+        for row in bags.select("low", "high").mapInArrow(_counts, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n")).collect():
             counts[row[0]] = row[1]
-        own = self.classes.select("k1", "k2", "size", "tokens")
+        own = self.classes.select("h", "size", "low", "high", "k1", "k2")
         a, b = (own.mapInArrow(_keys(counts[:-1], max(1, int(counts[-1])), role), KEYS).alias(side) for role, side in (("probe", "a"), ("index", "b")))
         fact = lambda side, at, bits: F.shiftright(f"{side}.facts", at).bitwiseAND(F.lit((1 << bits) - 1))
         size = lambda side: fact(side, 3, 19)
@@ -262,17 +272,24 @@ class NearDuplicates:
         sketch = F.shiftrightunsigned(F.col("a.facts").bitwiseXOR(F.col("b.facts")), 22)
         close = (F.bit_count(sketch) * (num + den) <= (den - num) * (size("a") + size("b"))) | (size("b") == MOST_SIZE)
         sized = (size("a") * den >= num * size("b")) & (size("a") <= size("b"))
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & one & sized & close & (F.col("a.k1") != F.col("b.k1")))
-        pairs = met.select(F.least("a.k1", "b.k1").alias("k1_a"), F.greatest("a.k1", "b.k1").alias("k1_b")).distinct()
-        # Classes that share k1 by chance all come along here; each is checked by its own tokens. Before tokens travel,
+        # A class isn't its own partner; two classes that share h by chance differ in size or sketch.
+        other = (F.col("a.h") != F.col("b.h")) | (sketch != 0) | (size("a") != size("b"))
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & one & sized & close & other)
+        pairs = met.select(F.least("a.h", "b.h").alias("h_a"), F.greatest("a.h", "b.h").alias("h_b")).distinct()
+        # Classes that share h by chance all come along here; each is checked by its own tokens. Before tokens travel,
         # two more parity sketches drop most pairs that the exact check would drop.
-        side = lambda s, *more: own.select(F.col("k1").alias(f"k1_{s}"), F.col("size").alias(f"size_{s}"), *(_parity(at).alias(f"p{at}_{s}") for at in PARITIES), *(F.col(c).alias(f"{c}_{s}") for c in more))
+        side = lambda s, *more: own.select(F.col("h").alias(f"h_{s}"), F.col("size").alias(f"size_{s}"), *(_parity(at).alias(f"p{at}_{s}") for at in PARITIES), *(F.col(c).alias(f"{c}_{s}") for c in more))
         bound = (den - num) * (F.col("size_a") + F.col("size_b"))
         likely = reduce(lambda x, y: x & y, (F.bit_count(F.col(f"p{at}_a").bitwiseXOR(F.col(f"p{at}_b"))) * (num + den) <= bound for at in PARITIES))
-        narrow = pairs.join(side("a"), "k1_a").join(side("b", "k2", "tokens"), "k1_b").filter(likely).select("k1_a", "k1_b", "k2_b", "size_b", "tokens_b")
-        both = narrow.join(own.select(*(F.col(c).alias(f"{c}_a") for c in own.columns)), "k1_a")
-        shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-        return both.filter(shared * (num + den) >= num * (F.col("size_a") + F.col("size_b"))).select("k1_a", "k2_a", "k1_b", "k2_b")
+        carried = ["k1", "k2", "size", "low", "high"]
+        likely_pairs = pairs.join(side("a", "k1", "k2"), "h_a").join(side("b", *(c for c in carried if c != "size")), "h_b").filter(likely).select("h_a", "h_b", "k1_a", "k2_a", *(f"{c}_b" for c in carried))
+        # Found by h, as the classes lie by it, and told apart by k1 and k2.
+        again = own.select(F.col("h").alias("h_a"), F.col("k1").alias("k1_x"), F.col("k2").alias("k2_x"), *(F.col(c).alias(f"{c}_a") for c in carried[2:]))
+        both = likely_pairs.join(again, "h_a").filter((F.col("k1_a").bitwiseXOR(F.col("k1_x")) == 0) & (F.col("k2_a").bitwiseXOR(F.col("k2_x")) == 0))
+        token = lambda s: F.zip_with(f"low_{s}", f"high_{s}", lambda x, y: x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(y.cast("bigint") * (1 << 32)))
+        shared = F.size(F.array_intersect(token("a"), token("b")))
+        ordered = (F.col("h_a") != F.col("h_b")) | (F.struct("k1_a", "k2_a") < F.struct("k1_b", "k2_b"))
+        return both.filter(ordered & (shared * (num + den) >= num * (F.col("size_a") + F.col("size_b")))).select("k1_a", "k2_a", "k1_b", "k2_b")
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), smaller id first: all pairs, copies included."""

@@ -44,6 +44,13 @@ def test_all_pairs(spark, seed):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def test_classes_that_share_their_short_number(spark, monkeypatch):
+    monkeypatch.setattr(D, "KEY_BITS", 5)
+    rows = texts(4)
+    got = [tuple(r) for r in D.NearDuplicates(spark.createDataFrame(rows, SCHEMA)).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_classes_and_hot_copies(spark):
     rows = [(f"h{i:03}", "the same text of many words again and again") for i in range(60)] + [("x", "the same text of many words again and once"), ("y", "nothing of it")]
     got = {r["id"]: (r["class_id"], r["links"]) for r in D.NearDuplicates(spark.createDataFrame(rows, SCHEMA)).membership().collect()}
