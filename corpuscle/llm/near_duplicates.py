@@ -250,11 +250,11 @@ class NearDuplicates:
     def __init__(self, records: DataFrame, id_column: str = "id", text_column: str = "text"):
         own = records.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
         bags = own.mapInArrow(_bags(False), BAGS)
-        once = Window.partitionBy("k1", "k2").orderBy("id")
+        once = Window.partitionBy("h", "k1", "k2").orderBy("id")
         self.members = bags.select("id", "k1", "k2").filter("id is not null and k1 is not null and k2 is not null").distinct()
         # Copies are merged in each slice before the shuffle, so a text that a third of the records share is no hot key.
         # All uses take the same columns: they share this one shuffle, and by ``h`` it serves the check of pairs, too.
-        self.classes = own.mapInArrow(_bags(True), BAGS).filter("k1 is not null and k2 is not null").repartition("h").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+        self.classes = own.mapInArrow(_bags(True), BAGS).filter("h is not null and k1 is not null and k2 is not null").repartition("h").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
         self.links = self._links(bags)
 
     def _links(self, bags: DataFrame) -> DataFrame:
