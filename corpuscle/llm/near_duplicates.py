@@ -36,7 +36,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +53,8 @@ COUNTERS, SLICE = 1 << 18, 500_000
 
 #: A token's lower 32 and upper 16 bits; ``h``: the lower bits of k1, by which classes are found.
 BAGS = "id string, h bigint, k1 bigint, k2 bigint, size int, low array<int>, high array<smallint>"
-#: ``facts`` packs, from the lowest bit: a key of no cleared bit, the allowed errors of a probe + 1, the size (at most ``MOST_SIZE``) and a sketch.
+#: ``facts`` packs, from the lowest bit: the size (at most ``MOST_SIZE``), a sketch, the allowed errors of a probe + 1, and whether no bit is cleared.
+#: What a record's keys have in common lies together, which lets a shuffle's blocks shrink.
 KEYS = "key bigint, h bigint, facts bigint"
 #: Bits of a token, of a key (and of ``h``) and of the parity sketch; the largest size told apart before the exact check.
 TOKEN_BITS, KEY_BITS, SKETCH_BITS, MOST_SIZE = 48, 40, 40, (1 << 19) - 1
@@ -111,7 +111,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _bags(first_only: bool):
-    """The multisets of texts; with ``first_only`` one row per multiset and slice, of the smallest id."""
+    """The multisets of texts; with ``first_only`` one row per multiset and slice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +124,7 @@ def _bags(first_only: bool):
                 ids = batch.column(0).slice(first, len(texts))
                 use = size > 0
                 if first_only:
-                    order = np.lexsort((pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy(), k2, k1))
+                    order = np.lexsort((k2, k1))
                     again = np.zeros(len(texts), bool)
                     again[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
                     use &= ~again
@@ -209,7 +209,7 @@ def chunk_keys(h: np.ndarray, size: np.ndarray, flat: np.ndarray, counts: np.nda
         for column, parts in zip(columns, ((keys, cleared), (np.ones(len(keys), bool), np.zeros(len(cleared), bool)), (errors, errors[slot]), (np.repeat(rec, m), rec[slot // m]))):
             column.extend(parts)
     key, whole, errors, rec = (np.concatenate(c) for c in columns)
-    facts = whole.astype(np.int64) | (errors.astype(np.int64) + 1) << 1 | np.minimum(size, MOST_SIZE)[rec] << 3 | sketch.astype(np.int64)[rec] << 22
+    facts = np.minimum(size, MOST_SIZE)[rec] | sketch.astype(np.int64)[rec] << 19 | (errors.astype(np.int64) + 1) << 59 | whole.astype(np.int64) << 61
     return [(key >> np.uint64(64 - KEY_BITS)).view(np.int64), h[rec], facts]
 
 
@@ -224,20 +224,20 @@ def _keys(counts: np.ndarray, records: int, role: str):
                 flat = _joined(part.column(2), part.column(3))
                 key, owner, facts = chunk_keys(h, size.astype(np.int64), flat, counts, records)
                 if role == "probe":
-                    use = (facts & 1 == 1) & (facts >> 1 & 3 >= 1)
+                    use = (facts >> 61 & 1 == 1) & (facts >> 59 & 3 >= 1)
                     key, owner, facts = key[use], owner[use], facts[use]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(facts)], ["key", "h", "facts"])
 
     return work
 
 
-#: The first bits of tokens that the parity sketches of the check of pairs take.
-PARITIES = (0, 6)
+#: The parts of tokens that the parity sketches of the check of pairs take; with both, all uses of the classes take the same columns.
+PARITIES = ("low", "high")
 
 
-def _parity(at: int) -> Column:
-    """A parity sketch of 64 bits by six of the lower bits of each token; two differ in no more bits than their multisets in tokens."""
-    return F.aggregate("low", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, at).bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(part: str) -> Column:
+    """A parity sketch of 64 bits by six bits of a part of each token; two differ in no more bits than their multisets in tokens."""
+    return F.aggregate(part, F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.cast("int").bitwiseAND(F.lit(63)))))
 
 
 class NearDuplicates:
@@ -250,11 +250,11 @@ class NearDuplicates:
     def __init__(self, records: DataFrame, id_column: str = "id", text_column: str = "text"):
         own = records.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
         bags = own.mapInArrow(_bags(False), BAGS)
-        once = Window.partitionBy("h", "k1", "k2").orderBy("id")
+        once = Window.partitionBy("h", "k1", "k2").orderBy("size")
         self.members = bags.select("id", "k1", "k2").filter("id is not null and k1 is not null and k2 is not null").distinct()
         # Copies are merged in each slice before the shuffle, so a text that a third of the records share is no hot key.
         # All uses take the same columns: they share this one shuffle, and by ``h`` it serves the check of pairs, too.
-        self.classes = own.mapInArrow(_bags(True), BAGS).filter("h is not null and k1 is not null and k2 is not null").repartition("h").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+        self.classes = own.mapInArrow(_bags(True), BAGS).drop("id").filter("h is not null and k1 is not null and k2 is not null").repartition("h").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
         self.links = self._links(bags)
 
     def _links(self, bags: DataFrame) -> DataFrame:
@@ -266,10 +266,10 @@ class NearDuplicates:
         own = self.classes.select("h", "size", "low", "high", "k1", "k2")
         a, b = (own.mapInArrow(_keys(counts[:-1], max(1, int(counts[-1])), role), KEYS).alias(side) for role, side in (("probe", "a"), ("index", "b")))
         fact = lambda side, at, bits: F.shiftright(f"{side}.facts", at).bitwiseAND(F.lit((1 << bits) - 1))
-        size = lambda side: fact(side, 3, 19)
+        size = lambda side: fact(side, 0, 19)
         # A cleared bit is allowed only where the probe allows an error.
-        one = (fact("b", 0, 1) == 1) | (fact("a", 1, 2) == 2)
-        sketch = F.shiftrightunsigned(F.col("a.facts").bitwiseXOR(F.col("b.facts")), 22)
+        one = (fact("b", 61, 1) == 1) | (fact("a", 59, 2) == 2)
+        sketch = F.shiftright(F.col("a.facts").bitwiseXOR(F.col("b.facts")), 19).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
         close = (F.bit_count(sketch) * (num + den) <= (den - num) * (size("a") + size("b"))) | (size("b") == MOST_SIZE)
         sized = (size("a") * den >= num * size("b")) & (size("a") <= size("b"))
         # A class isn't its own partner; two classes that share h by chance differ in size or sketch.
@@ -278,9 +278,9 @@ class NearDuplicates:
         pairs = met.select(F.least("a.h", "b.h").alias("h_a"), F.greatest("a.h", "b.h").alias("h_b")).distinct()
         # Classes that share h by chance all come along here; each is checked by its own tokens. Before tokens travel,
         # two more parity sketches drop most pairs that the exact check would drop.
-        side = lambda s, *more: own.select(F.col("h").alias(f"h_{s}"), F.col("size").alias(f"size_{s}"), *(_parity(at).alias(f"p{at}_{s}") for at in PARITIES), *(F.col(c).alias(f"{c}_{s}") for c in more))
+        side = lambda s, *more: own.select(F.col("h").alias(f"h_{s}"), F.col("size").alias(f"size_{s}"), *(_parity(at).alias(f"{at}_parity_{s}") for at in PARITIES), *(F.col(c).alias(f"{c}_{s}") for c in more))
         bound = (den - num) * (F.col("size_a") + F.col("size_b"))
-        likely = reduce(lambda x, y: x & y, (F.bit_count(F.col(f"p{at}_a").bitwiseXOR(F.col(f"p{at}_b"))) * (num + den) <= bound for at in PARITIES))
+        likely = reduce(lambda x, y: x & y, (F.bit_count(F.col(f"{at}_parity_a").bitwiseXOR(F.col(f"{at}_parity_b"))) * (num + den) <= bound for at in PARITIES))
         carried = ["k1", "k2", "size", "low", "high"]
         likely_pairs = pairs.join(side("a", "k1", "k2"), "h_a").join(side("b", *(c for c in carried if c != "size")), "h_b").filter(likely).select("h_a", "h_b", "k1_a", "k2_a", *(f"{c}_b" for c in carried))
         # Found by h, as the classes lie by it, and told apart by k1 and k2.
@@ -303,5 +303,5 @@ class NearDuplicates:
     def membership(self) -> DataFrame:
         """(id, class_id, links): each record's class, named by its smallest id, and the class's links to other classes."""
         ends = self.links.select(F.explode(F.array(F.struct(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")), F.struct(F.col("k1_b").alias("k1"), F.col("k2_b").alias("k2")))).alias("e")).groupBy("e.k1", "e.k2").agg(F.count("*").alias("links"))
-        named = self.classes.select("k1", "k2", F.col("id").alias("class_id")).join(ends, ["k1", "k2"], "left")
+        named = self.members.groupBy("k1", "k2").agg(F.min("id").alias("class_id")).join(ends, ["k1", "k2"], "left")
         return self.members.join(named, ["k1", "k2"]).select("id", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
