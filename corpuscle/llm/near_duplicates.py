@@ -282,10 +282,11 @@ class NearDuplicates:
         bound = (den - num) * (F.col("size_a") + F.col("size_b"))
         likely = reduce(lambda x, y: x & y, (F.bit_count(F.col(f"{at}_parity_a").bitwiseXOR(F.col(f"{at}_parity_b"))) * (num + den) <= bound for at in PARITIES))
         carried = ["k1", "k2", "size", "low", "high"]
-        likely_pairs = pairs.join(side("a", "k1", "k2"), "h_a").join(side("b", *(c for c in carried if c != "size")), "h_b").filter(likely).select("h_a", "h_b", "k1_a", "k2_a", *(f"{c}_b" for c in carried))
-        # Found by h, as the classes lie by it, and told apart by k1 and k2.
-        again = own.select(F.col("h").alias("h_a"), F.col("k1").alias("k1_x"), F.col("k2").alias("k2_x"), *(F.col(c).alias(f"{c}_a") for c in carried[2:]))
-        both = likely_pairs.join(again, "h_a").filter((F.col("k1_a").bitwiseXOR(F.col("k1_x")) == 0) & (F.col("k2_a").bitwiseXOR(F.col("k2_x")) == 0))
+        likely_pairs = pairs.join(side("a"), "h_a").join(side("b", *(c for c in carried if c != "size")), "h_b").filter(likely).select("h_a", "h_b", "size_a", *(f"{at}_parity_a" for at in PARITIES), *(f"{c}_b" for c in carried))
+        # Found by h, as the classes lie by it, and told apart by both sketches.
+        again = own.select(F.col("h").alias("h_a"), *(_parity(at).alias(f"{at}_again") for at in PARITIES), *(F.col(c).alias(f"{c}_a") for c in carried if c != "size"))
+        same = reduce(lambda x, y: x & y, (F.col(f"{at}_parity_a").bitwiseXOR(F.col(f"{at}_again")) == 0 for at in PARITIES))
+        both = likely_pairs.join(again, "h_a").filter(same & (F.size("low_a") - F.col("size_a") == 0))
         token = lambda s: F.zip_with(f"low_{s}", f"high_{s}", lambda x, y: x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(y.cast("bigint") * (1 << 32)))
         shared = F.size(F.array_intersect(token("a"), token("b")))
         ordered = (F.col("h_a") != F.col("h_b")) | (F.struct("k1_a", "k2_a") < F.struct("k1_b", "k2_b"))
