@@ -45,7 +45,7 @@ def test_all_pairs(spark, seed):
 
 
 def test_classes_that_share_their_short_number(spark, monkeypatch):
-    monkeypatch.setattr(D, "KEY_BITS", 5)
+    monkeypatch.setattr(D, "SHORT_BITS", 5)
     rows = texts(4)
     got = [tuple(r) for r in D.NearDuplicates(spark.createDataFrame(rows, SCHEMA)).pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
