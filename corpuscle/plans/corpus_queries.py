@@ -135,7 +135,24 @@ def distinct_locations(spark: SparkSession, root: str) -> DataFrame:
 # Chunks ------------------------------------------------------------------------------------------
 
 
-@query()
+# White space as Python strips it.
+_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(
+    f"""with recursive d as (select doc_id, text t, length(text) n from documents where text is not null and not regexp_matches(text, '^{_WS}*$')),
+    w as (
+      select doc_id, 0::bigint s, 0::bigint e, 0::bigint nxt from d
+      union all
+      select doc_id, s, e, case when f <= s then s + {chunking.SIZE - chunking.OVERLAP} else f end from (
+        select doc_id, s, e, case when e - {chunking.OVERLAP} <= s then e - {chunking.OVERLAP} else least(e, case when regexp_matches(tail, '{_WS}') then e - {chunking.OVERLAP} + greatest(0, length(regexp_extract(tail, '(?s)^(.*?){_WS}', 0)) - 2) else e end) end f from (
+          select *, substring(t, (e - {chunking.OVERLAP})::int, {chunking.OVERLAP} + 1) tail from (select *, case when e0 >= n then n when length(regexp_extract(win, '(?s)^.*[.!?\n]')) > 0 then low + length(regexp_extract(win, '(?s)^.*[.!?\n]'))
+            when length(regexp_extract(win, '(?s)^.* ')) > 0 and low + length(regexp_extract(win, '(?s)^.* ')) - 1 > s then low + length(regexp_extract(win, '(?s)^.* ')) - 1 else e0 end e from (
+            select *, substring(t, (low + 1)::int, (e0 - low)::int) win from (
+              select doc_id, t, n, nxt s, least(nxt + {chunking.SIZE}, n) e0, greatest(nxt + 1, least(nxt + {chunking.SIZE}, n) - {chunking.REACH}) low from w join d using (doc_id) where nxt < n)))))),
+    c as (select w.doc_id, s + length(x) - length(regexp_replace(x, '^{_WS}+', '')) a, s + length(regexp_replace(x, '{_WS}+$', '')) b from (select w.*, substring(t, (s + 1)::int, (e - s)::int) x from w join d using (doc_id) where e > 0) w)
+    select doc_id, (row_number() over (partition by doc_id order by a, b) - 1)::int as chunk_index, a::int as char_start, b::int as char_end, ((b - a) // 4)::int as token_count from c where b - a >= {chunking.LEAST}"""
+)
 def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
     return chunking.chunk(table(spark, root, "documents"), "doc_id").select("doc_id", "chunk_index", "char_start", "char_end", "token_count")
 
