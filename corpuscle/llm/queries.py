@@ -138,4 +138,14 @@ _P7 = r"""with c as (select distinct on (id) id, regexp_extract_all(lower(text),
   i as (select a.id x, b.id y, sum(least(a.n, b.n)) common from t a join t b on a.w = b.w and a.id < b.id group by all)
   select x as claim_id_a, y as claim_id_b from i join z p on p.id = x join z q on q.id = y where common * 1.0 / (p.z + q.z - common) >= 0.75"""
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p7_found": _P7, "p9_found": _P9}
+_P1_GOLDEN = f"""select work_doi, max(case when field_name = 'provider_record_id' then provider_record_id end) as provider_record_id, max(case when field_name = 'canonical_record_url' then canonical_record_url end) as canonical_record_url,
+    max(case when field_name = 'locations' then record_id end) as locations_from from ({_P1}) join (select record_id, arg_min(provider_record_id, loaded_at) provider_record_id, arg_min(canonical_record_url, loaded_at) canonical_record_url from provenance_records group by 1) using (record_id) group by 1"""
+
+_P7_CLASSES = rf"""with b as (select id, min(id) over (partition by k) class_id from (select distinct on (id) id, list_sort(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}]+')) k from claims where id is not null and text is not null) where len(k) > 0),
+    p as (select * from ({_P7})), e as (select x.class_id, y.class_id other from p join b x on x.id = claim_id_a join b y on y.id = claim_id_b union select y.class_id, x.class_id from p join b x on x.id = claim_id_a join b y on y.id = claim_id_b)
+  select id, class_id, (select count(*) from e where e.class_id = b.class_id and other <> b.class_id) as links from b"""
+
+_P9_ITEMS = f"""select item_id, count(*) as documents, least(1.0, round(max(n) / any_value(total), 6))::double as largest_share from (select d.i doc, e.i item_id, count(distinct d.g) n from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) e on d.g = e.g group by all)
+    join (select item_id, greatest(1, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+')) - 11) total from eval_items) using (item_id) group by 1"""
+
+SQL = {"p1_golden": _P1_GOLDEN, "p7_classes": _P7_CLASSES, "p9_items": _P9_ITEMS, "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p7_found": _P7, "p9_found": _P9}
