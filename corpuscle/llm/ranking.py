@@ -26,7 +26,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,83 +48,110 @@ def usable(results: DataFrame) -> DataFrame:
     return own.filter(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()).groupBy("query_id", "chunk_id").agg(*(F.max(c).alias(c) for c in ("s0", "s1", "s2")))
 
 
-def stationary(scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
-    """The stationary mass of ``scores`` (items x scores, higher better, -inf-like codes for missing)."""
-    n, k = scores.shape
-    walks = []
-    for j in range(k):
-        values = scores[:, j]
-        order = np.argsort(-values, kind="stable")
-        ordered = values[order]
+def walk(codes: np.ndarray, there: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
+    """The stationary mass of many queries at once: ``codes`` (scores x queries x places, higher better), ``there`` marks the places in use.
+
+    Sums run along each query's own row, so a query's mass doesn't depend on its neighbours.
+    """
+    queries, m = there.shape
+    size = there.sum(axis=1, keepdims=True)
+    place = np.broadcast_to(np.arange(m), (queries, m))
+    plans = []
+    for code in codes:
+        order = np.argsort(-code, axis=1, kind="stable")
+        ranked = np.take_along_axis(code, order, axis=1)
+        new = np.ones((queries, m + 1), bool)
+        new[:, 1:-1] = ranked[:, 1:] != ranked[:, :-1]
         # above: how many items are strictly better; after: where the strictly worse ones begin.
-        above = np.searchsorted(-ordered, -ordered, side="left")
-        after = np.searchsorted(-ordered, -ordered, side="right")
-        walks.append((order, above, after))
-    mass = np.full(n, 1.0 / n)
+        above = np.maximum.accumulate(np.where(new[:, :-1], place, 0), axis=1)
+        after = np.minimum.accumulate(np.where(new[:, 1:], place + 1, m)[:, ::-1], axis=1)[:, ::-1]
+        plans.append((order, np.argsort(order, axis=1, kind="stable"), above == 0, 1.0 / np.maximum(above, 1), after))
+    mass = there / np.maximum(size, 1)
     for _ in range(steps):
-        new = np.zeros(n)
-        for order, above, after in walks:
-            own = mass[order]
-            stays = above == 0
-            handed = np.where(stays, 0.0, own / np.maximum(above, 1))
-            below = np.concatenate([np.cumsum(handed[::-1])[::-1], [0.0]])
-            new[order] += below[after] + np.where(stays, own, 0.0)
-        new = (1 - damping) / n + damping * new / k
-        mass = new
+        gain = np.zeros((queries, m))
+        for order, back, stays, share, after in plans:
+            own = np.take_along_axis(mass, order, axis=1)
+            below = np.zeros((queries, m + 1))
+            below[:, :-1] = np.cumsum(np.where(stays, 0.0, own * share)[:, ::-1], axis=1)[:, ::-1]
+            gain += np.take_along_axis(np.take_along_axis(below, after, axis=1) + np.where(stays, own, 0.0), back, axis=1)
+        mass = there * ((1 - damping) / np.maximum(size, 1) + damping * gain / len(plans))
     return mass
 
 
-def _codes(scores: np.ndarray) -> np.ndarray:
-    """Dense codes per score, higher better, missing (NaN) lowest; so that infinities and missing compare."""
-    out = np.empty(scores.shape)
-    for j in range(scores.shape[1]):
-        column = scores[:, j]
-        there = ~np.isnan(column)
-        out[:, j] = -1
-        out[there, j] = np.unique(column[there], return_inverse=True)[1]
-    return out
-
-
-def ordered(scores: np.ndarray, ids: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, int]:
-    """The order of the items (indices), their mass, and the item that beats all others or -1."""
-    codes = _codes(scores)
-    mass = np.round(stationary(codes, damping, steps), 12)
-    order = np.lexsort((ids, -mass))
-    winner = -1
-    if len(ids) > 1:
-        need = scores.shape[1] // 2 + 1
-        top = order[-1]
-        for i in order[-2::-1]:
-            if (codes[top] > codes[i]).sum() < need:
-                top = i
-        beaten = (codes[top] > codes).sum(axis=1) >= need
-        if beaten.sum() == len(ids) - 1:
-            winner = int(top)
-    return order, mass, winner
-
-
-def _solver(damping: float, steps: int):
-    def solve(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole queries, packed into rows of arrays."""
-        for batch in groups:
-            parts = []
-            for query, items in zip(batch["query_id"], batch["items"]):
-                ids = np.array([x["chunk_id"] for x in items], dtype=object)
-                scores = np.array([[x["s0"], x["s1"], x["s2"]] for x in items], dtype=float)
-                order, mass, winner = ordered(scores, ids, damping, steps)
-                walk = np.empty(len(ids), dtype=np.int64)
-                walk[order] = np.arange(1, len(ids) + 1)
-                final = walk.copy()
-                if winner >= 0:
-                    final[walk < walk[winner]] += 1
-                    final[winner] = 1
-                parts.append(pd.DataFrame({"query_id": query, "chunk_id": ids, "mass": mass, "walk_rank": walk, "final_rank": final, "beats_all": np.arange(len(ids)) == winner}))
-            if parts:
-                yield pd.concat(parts)
+def stationary(scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
+    """The stationary mass of one query's ``scores`` (items x scores, higher better)."""
+    return walk(np.ascontiguousarray(scores.T)[:, None, :], np.ones((1, len(scores)), bool), damping, steps)[0]
+
+
+def majority_tops(codes: np.ndarray, there: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Per query the place of the item that beats all others in a majority of scores, or -1.
+
+    A bubble pass up the order meets the only possible one; it is checked against all.
+    """
+    queries, m = there.shape
+    row, need = np.arange(queries), len(codes) // 2 + 1
+    top = order[:, -1].copy()
+    for at in range(m - 2, -1, -1):
+        other = order[:, at]
+        kept = (codes[:, row, top] > codes[:, row, other]).sum(axis=0) >= need
+        # Places not in use lie at the end of the order.
+        top = np.where(kept & there[row, top], top, other)
+    beaten = (codes[:, row, top][:, :, None] > codes).sum(axis=0) >= need
+    size = there.sum(axis=1)
+    return np.where((size > 1) & ((beaten & there).sum(axis=1) == size - 1), top, -1)
+
+
+def _solver(damping: float, steps: int, most: int = 500_000):
+    """Whole queries, those of like size side by side; ``most`` places at once."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            items, begin = lists.flatten(), np.cumsum(sizes) - sizes
+            by_size = np.argsort(sizes, kind="stable")
+            at = 0
+            while at < len(by_size):
+                # As many queries as fit beside the largest of them.
+                widths = sizes[by_size[at:]] * np.arange(1, len(by_size) - at + 1)
+                take = max(1, int(np.searchsorted(widths, most, side="right")))
+                yield _block(batch.column(0), items, by_size[at : at + take], sizes, begin, damping, steps)
+                at += take
 
     return solve
 
 
+def _block(names: pa.Array, items: pa.StructArray, own: np.ndarray, sizes: np.ndarray, begin: np.ndarray, damping: float, steps: int) -> pa.RecordBatch:
+    size = sizes[own]
+    query = np.repeat(np.arange(len(own)), size)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    rows = items.take(pa.array(np.repeat(begin[own], size) + inner))
+    # In each query by id, so that ties by place are ties by id.
+    order = pc.sort_indices(pa.table({"q": pa.array(query), "id": rows.field("chunk_id")}), sort_keys=[("q", "ascending"), ("id", "ascending")])
+    rows = rows.take(order)
+    m = int(size.max())
+    there = np.zeros((len(own), m), bool)
+    there[query, inner] = True
+    codes = np.full((len(SCORES), len(own), m), -2.0)
+    for j in range(len(SCORES)):
+        value = rows.field(f"s{j}")
+        known = pc.is_valid(value).to_numpy(zero_copy_only=False)
+        code = np.full(len(known), -1.0)
+        code[known] = np.unique(value.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        codes[j, query, inner] = code
+    mass = np.where(there, np.round(walk(codes, there, damping, steps), 12), -1.0)
+    walked = np.argsort(-mass, axis=1, kind="stable")
+    top = majority_tops(codes, there, walked)
+    rank = np.empty_like(walked)
+    np.put_along_axis(rank, walked, np.broadcast_to(np.arange(1, m + 1), walked.shape), axis=1)
+    best = np.arange(m)[None, :] == top[:, None]
+    # The winner goes first, those ahead of it move down by one.
+    ahead = np.where(top >= 0, rank[np.arange(len(own)), np.maximum(top, 0)], 0)[:, None]
+    final = np.where(best, 1, rank + (rank < ahead))
+    flat = lambda x: pa.array(x[query, inner])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(own[query])), rows.field("chunk_id"), flat(mass), flat(rank), flat(final), flat(best)], ["query_id", "chunk_id", "mass", "walk_rank", "final_rank", "beats_all"])
+
+
 def rank_walk(results: DataFrame, block: int = 50_000, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
     """The order of every query: (query_id, chunk_id, mass, walk_rank, final_rank, beats_all)."""
     own = usable(results)
@@ -131,7 +159,7 @@ def rank_walk(results: DataFrame, block: int = 50_000, damping: float = DAMPING,
     any_large = bool(large.limit(1).collect())
     small = own.join(large, "query_id", "left_anti") if any_large else own
     packed = small.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "s0", "s1", "s2")).alias("items"))
-    solved = packed.mapInPandas(_solver(damping, steps), ORDER_SCHEMA)
+    solved = packed.mapInArrow(_solver(damping, steps), ORDER_SCHEMA)
     return solved.unionByName(rank_walk_large(own.join(large, "query_id", "left_semi"), damping, steps)) if any_large else solved
 
 
