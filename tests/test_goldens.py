@@ -208,8 +208,9 @@ def test_bm25_against_the_formula(spark):
 
 
 def test_dense_search_in_blocks(spark):
-    vectors = spark.createDataFrame([(i, [float(i == 0), float(i == 1), 0.5]) for i in range(4)] + [(9, None)], "doc bigint, v array<float>")
+    vectors = spark.createDataFrame([(i, [float(i == 0), float(i == 1), 0.5]) for i in range(4)] + [(9, None), (10, [1.0]), (11, [9.0, None, 9.0])], "doc bigint, v array<float>")
     queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "query_id bigint, q array<float>")
     whole = {tuple(r) for r in retrieval.dense_search(vectors, queries, 2).select("query_id", "doc", "rank").collect()}
     assert whole == {(1, 0, 1), (1, 1, 2), (2, 1, 1), (2, 0, 2)}
-    assert whole == {tuple(r) for r in retrieval.dense_search(vectors, queries, 2, most_queries=1).select("query_id", "doc", "rank").collect()}
+    assert retrieval.dense_search(vectors, queries.limit(0), 2).count() == 0 and retrieval.dense_search(vectors.limit(0), queries, 2).count() == 0
+    assert whole == {tuple(r) for r in retrieval.dense_search(vectors, queries, 2, block=1).select("query_id", "doc", "rank").collect()}
