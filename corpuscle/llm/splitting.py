@@ -71,15 +71,16 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMaximum:
-    """A sparse table: the place of the largest value of a range, the rightmost of equals."""
+    """A sparse table over ranges of at most ``longest`` values: the place of the largest value, the rightmost of equals."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, longest: int | None = None):
         self.n = len(values)
+        longest = min(self.n, longest or self.n)
         # Value and place in one number, so that the maximum is the rightmost of equals.
         level = values.astype(np.int64) * (self.n + 1) + np.arange(self.n)
         self.levels = [level]
         width = 1
-        while 2 * width <= self.n:
+        while 2 * width <= longest:
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
@@ -102,7 +103,8 @@ def cut(text: str, limit: int, overlap: int = OVERLAP) -> list[tuple[int, int, i
         return []
     if stop - begin <= limit:
         return [(begin, stop, 0, 0)]
-    table = RangeMaximum(strengths(text))
+    # No window is longer than the limit, so the table has a level per power of two up to it, whatever the text's length.
+    table = RangeMaximum(strengths(text), limit)
     out, start, end = [], begin, begin
     while True:
         if stop - start <= limit:

@@ -6,8 +6,9 @@ field, and the top record per group and field is kept. Spark filters a
 a group that holds a third of all rows each task passes on one row per field.
 
 Defined cases: repeated deliveries of a record count once, by their first
-``loaded_at`` (a null ``loaded_at`` comes last); rows with a null record_id or
-without a usable DOI belong to no group; blank values are unfilled; a field no
+``loaded_at`` (a null ``loaded_at`` comes last; of several at that time the one whose
+content hashes lowest); rows with a null record_id belong to no group, nor do records
+whose first delivery has no usable DOI; blank values are unfilled; a field no
 record of the group has filled has no survivor; a retrieved_at that is null or
 later than the first delivery ranks as earliest; ties go to the smaller id.
 """
@@ -40,8 +41,8 @@ def _filled_pairs(locations: Column) -> Column:
 
 
 def first_deliveries(records: DataFrame) -> DataFrame:
-    """One row per record_id: its first delivery."""
-    w = Window.partitionBy("record_id").orderBy(F.col("loaded_at").asc_nulls_last())
+    """One row per record_id: its first delivery; of equal times the one whose content hashes lowest."""
+    w = Window.partitionBy("record_id").orderBy(F.col("loaded_at").asc_nulls_last(), F.xxhash64(*(c for c in records.columns if c != "record_id")))
     return records.filter(F.col("record_id").isNotNull()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -52,7 +53,8 @@ def survivors(records: DataFrame) -> DataFrame:
     ``records`` besides the ones named here take no part, whatever their names.
     """
     own = records.select("record_id", "doi", "retrieved_at", "provider_record_id", "canonical_record_url", "locations", "loaded_at")
-    base = first_deliveries(own.withColumn("doi", plain_doi("doi")).filter(F.col("doi").isNotNull()))
+    # The first delivery is taken before its DOI is judged: a later delivery must not take the place of one without a DOI.
+    base = first_deliveries(own).withColumn("doi", plain_doi("doi")).filter(F.col("doi").isNotNull())
     recency = F.when(F.col("retrieved_at") <= F.col("loaded_at"), F.col("retrieved_at"))
     pairs = F.coalesce(F.size(_filled_pairs(F.col("locations"))), F.lit(0))
     scalar = lambda f: F.struct(F.lit(f).alias("field_name"), F.when(is_blank(f), 0).otherwise(1).alias("completeness"), F.col(f).alias("value"))

@@ -60,3 +60,9 @@ def test_found_items(spark):
 
 def test_empty(spark):
     assert S.split_oversized(spark.createDataFrame([], CHUNK), spark.createDataFrame([], CLAIM)).count() == 0
+
+
+def test_the_table_has_no_more_levels_than_a_window_needs():
+    table = S.RangeMaximum(S.strengths("some words, here. " * 4000), 600)
+    assert len(table.levels) == 10
+    assert table.best(100, 699) == S.RangeMaximum(S.strengths("some words, here. " * 4000)).best(100, 699)

@@ -84,3 +84,15 @@ def test_golden_record(spark):
     data = [("a", "10.1/x", T0, "old", None, None, T0), ("b", "10.1/x", T0 + dt.timedelta(1), "new", " ", [("l", None)], T0 + dt.timedelta(1))]
     (row,) = S.golden_records(spark.createDataFrame(data, SCHEMA)).collect()
     assert (row["provider_record_id"], row["canonical_record_url"], row["locations_from"]) == ("new", None, "b")
+
+
+def test_a_later_delivery_does_not_replace_one_without_a_doi(spark):
+    late = T0 + dt.timedelta(days=1)
+    data = [("a", None, T0, "old", None, None, T0), ("a", "10.1/x", T0, "new", None, None, late), ("b", "10.1/x", T0, "b", None, None, T0)]
+    assert S.survivors(spark.createDataFrame(data, SCHEMA)).count() == 0
+
+
+def test_deliveries_of_one_time_are_told_apart_whatever_their_order(spark):
+    data = [("a", "10.1/x", T0, v, None, None, T0) for v in "pqrst"] + [("b", "10.1/x", None, "b", None, None, T0)]
+    found = {S.survivors(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()[0]["value"] for rows, n in ((data, 1), (data[::-1], 3), (data[2:] + data[:2], 5))}
+    assert len(found) == 1
