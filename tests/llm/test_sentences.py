@@ -42,9 +42,63 @@ def test_all_text_belongs_to_one_unit(text):
 
 
 def test_lattice_prefers_dictionary_words():
-    assert S.LATTICES["ja"].segment("としかし") == ["と", "しかし"]
-    assert S.LATTICES["th"].segment("เราพบว่าxyz")[0] == "เราพบว่า"
-    assert S.LATTICES["zh"].segment("") == []
+    lattices = S.PLAIN.lattices
+    assert lattices["ja"].segment("としかし") == ["と", "しかし"]
+    assert lattices["th"].segment("นอกจากนี้xyz")[0] == "นอกจากนี้"
+    assert lattices["zh"].segment("") == []
+    learned = S.Lattice(["ที่"], {"พื้นที่": 30})
+    assert learned.segment("xพื้นที่") == ["x", "พื้นที่"] and S.Lattice(["ที่"]).segment("xพื้นที่")[-1] == "ที่"
+
+
+# Held-out sentences: none has an opening of the test tables.
+SPACELESS = [
+    ["ฉันไปตลาด ", "วันนี้อากาศดี"],
+    ["เขาซื้อผักและผลไม้ และขนมหวาน ", "ต่อมาเขากลับบ้าน"],
+    ["แม่กล่าวว่า ลูกต้องนอน ", "ทำไมลูกไม่นอนคะ ", "คุณพ่อหลับแล้ว"],
+    ["明日は雨です。", "傘を持って行きますか？", "ところで、猫はどこだ…", "しかし犬はいる。"],
+    ["「もう遅い！」と母は言った。", "「帰ろう。」", "父は笑った。"],
+    ["今日は寒いです また雪が降ります"],
+    ["行くぞ！と叫んで走った。", "誰も来ない。"],
+    ["天气很好。", "“我们走吧！”他说。", "“好。”", "大家都笑了……", "不过雨来了。"],
+    ["他说：“明天见。”的时候门开了。", "于是我走了。"],
+]
+
+
+@pytest.mark.parametrize("units", SPACELESS, ids=range(len(SPACELESS)))
+def test_spaceless_scripts(units):
+    text = "".join(units)
+    found = [text[a:b] for a, b in S.spans(text)]
+    if units[0].startswith("今日は"):
+        assert found == ["今日は寒いです", "また雪が降ります"]
+    else:
+        assert found == [u.strip() for u in units]
+
+
+def test_words_of_the_collection_are_told_from_particles(spark):
+    texts = ["ในพื้นที่ ABC มีคน", "พื้นที่", "เขาพบพื้นที่", "พื้นที่กว้าง", "ของพื้นที่", "และพื้นที่"] * 3
+    learned = S.dictionary(spark.createDataFrame([(t,) for t in texts] + [("猫が好き。猫は好き。",)] * 5 + [("短查询的结果",)] * 5, "text string"))
+    assert "พื้นที่" in learned["th"] and "好き" in learned["ja"] and learned["zh"]["结果"] == 5 and "短查询的" not in learned["zh"]
+    gaps, text = S.Gaps(learned), "เราอยู่ในพื้นที่ เขากลับบ้าน"
+    assert len(S.spans(text, gaps)) == 2 and len(S.spans(text)) == 1
+    assert S.dictionary(spark.createDataFrame([(None,), ("",), ("plain",)], "text string")) == {"th": {}, "ja": {}, "zh": {}}
+
+
+LINES = ["a.b,a.b,", "A. B. ", "word ", "1.", "\"", "(", "(.)", "...", ". ", "x. A", "1. A ", "\".", "e.g. ", "/x.Y", "。", "ที่ ", "「。」", "' ", "(\"", "A", " ", "です ", "“„", "U.S.A.-"]
+
+
+@pytest.mark.parametrize("piece", LINES, ids=range(len(LINES)))
+def test_time_is_in_proportion_to_a_line(piece):
+    import time
+
+    def seconds(n):
+        text = piece * (n // len(piece))
+        began = time.process_time()
+        S.spans(text)
+        return time.process_time() - began
+
+    seconds(1000)
+    small, large = min(seconds(50_000) for _ in range(3)), min(seconds(400_000) for _ in range(2))
+    assert large < 20 * small + 0.1
 
 
 def test_tables(spark):
