@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Abbreviations that never end a sentence, those that may, before a capital, and those that bind a number.
@@ -482,23 +482,25 @@ def dictionary(texts: DataFrame, most: int = MOST_WORDS, least: int = LEAST_OCCU
         kind = lambda w: F.when(w.isin(*closed), "closed").when(w.rlike(f"^[{script}]"), "run").otherwise("other")
         return F.transform(found, lambda w: F.struct(kind(w).alias("kind"), w.alias("word")))
 
-    def words(language: str, present: Column, script: str) -> DataFrame:
-        listed = texts.filter(present).select(parts(language, script).alias("p"))
-        at = lambda i: F.when(i >= 0, F.get("p", i))
+    def words(language: str) -> Column:
+        """(language, of, word) of every run in the column of the language and of what it grows together with."""
+        at = lambda i: F.when(i >= 0, F.get(F.col(language), i))
         # A closed-class word grows together with a run only where the text doesn't go on with other words beyond it.
         ends = lambda x, border: F.coalesce((x["kind"] == "closed") | x["word"].rlike(border), F.lit(True))
         behind = lambda x, i: F.when((at(i - 1)["kind"] == "closed") & ends(at(i - 2), r"[\s\p{P}]$"), F.concat(at(i - 1)["word"], x["word"]))
         ahead = lambda x, i: F.when((at(i + 1)["kind"] == "closed") & ends(at(i + 2), r"^[\s\p{P}]"), F.concat(x["word"], at(i + 1)["word"]))
-        entries = F.transform("p", lambda x, i: F.when(x["kind"] == "run", F.transform(F.array(x["word"], behind(x, i), ahead(x, i)), lambda w: F.struct(x["word"].alias("of"), w.alias("word")))))
-        each = listed.select(F.explode(F.flatten(F.filter(entries, lambda e: e.isNotNull()))).alias("w")).select("w.of", "w.word").filter("word is not null")
-        counted = each.filter(F.length("word").between(2, LONGEST)).groupBy("of", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-        plain = counted.filter("of = word").select("of", F.col("n").alias("whole"))
-        grown = counted.join(plain, "of", "left").filter((F.col("of") == F.col("word")) | (F.col("n") >= GROWN * F.coalesce("whole", F.col("n"))))
-        return grown.groupBy("word").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select(F.lit(language).alias("language"), "word", "n")
-
+        each = F.transform(F.col(language), lambda x, i: F.when(x["kind"] == "run", F.transform(F.array(x["word"], behind(x, i), ahead(x, i)), lambda w: F.struct(F.lit(language).alias("language"), x["word"].alias("of"), w.alias("word")))))
+        return F.flatten(F.filter(each, lambda e: e.isNotNull()))
+
+    # One scan and one shuffle of the counts serve all scripts.
+    parted = texts.filter(thai | kana | han).select(*(F.when(present, parts(k, script)).alias(k) for k, (present, script) in scripts.items()))
+    each = parted.select(F.explode(F.concat(*(F.coalesce(words(k), F.array()) for k in scripts))).alias("w")).select("w.*").filter(F.length("word").between(2, LONGEST))
+    counted = each.groupBy("language", "of", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    whole = F.max(F.when(F.col("of") == F.col("word"), F.col("n"))).over(Window.partitionBy("language", "of"))
+    grown = counted.withColumn("whole", F.coalesce(whole, F.col("n"))).filter((F.col("of") == F.col("word")) | (F.col("n") >= GROWN * F.col("whole")))
+    first = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     out: dict[str, dict[str, int]] = {k: {} for k in scripts}
-    rows = [words(k, present, script) for k, (present, script) in scripts.items()]
-    for language, word, n in rows[0].unionByName(rows[1]).unionByName(rows[2]).collect():
+    for language, word, n in grown.groupBy("language", "word").agg(F.max("n").alias("n")).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).select("language", "word", "n").collect():
         out[language][word] = n
     return out
 
