@@ -16,8 +16,9 @@ find none counts as a rater's error. The threshold is the one of best F1 on labe
 unseen by the model. Of a document with several labels the mean counts, at least
 half being 1.
 
-Only the fit is bounded, to ``MOST_LABELLED`` documents and ``MOST_UNITS`` units of
-them, drawn by a hash; all documents are scored over their whole text.
+Only the fit is bounded, to ``MOST_LABELLED`` documents of ``MOST_CHARACTERS`` together
+and ``MOST_UNITS`` units of them, drawn by a hash; it runs in one task. All documents
+are scored over their whole text.
 
 Defined cases: null and empty texts score as the empty unit, the bias; labels other
 than 0 and 1, null labels and labels of absent documents don't count; without
@@ -32,13 +33,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import runs
 
 #: Labelled documents and units of them that a model is fitted on.
 MOST_LABELLED, MOST_UNITS = 12_000, 30_000
+#: Characters of text that a model is fitted on.
+MOST_CHARACTERS = 60_000_000
 #: Landmarks, bits of a feature's hash, cost of a gap, regularization.
 LANDMARKS, BITS, DECAY, RIDGE = 400, 13, 0.6, 1e-3
 #: Characters of text taken at once.
@@ -84,7 +87,8 @@ _LEET = np.array([ord(c) for c in "oizeasgtbg"], np.uint32)
 @lru_cache(1)
 def _caseless_start() -> np.ndarray:
     """True for code points that don't continue a sentence after its end: all but small letters and white space."""
-    return np.fromiter((not chr(i).islower() and not chr(i).isspace() for i in range(0x110000)), bool, 0x110000)
+    chars = np.arange(0x110000, dtype="<u4").view("<U1")
+    return ~(np.char.islower(chars) | np.char.isspace(chars))
 
 
 def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,9 +219,15 @@ class Units:
         at = np.repeat(self.first[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         row = np.repeat(np.arange(len(which)), size)
         begins = np.arange(len(at)) < np.repeat(np.cumsum(size) - 4, size)
-        out = np.zeros(len(which) << self.bits)
+        places, weights = [], []
         for h, weight in features(self.text[at], self.bits):
-            out += np.bincount((row[: len(h)] << self.bits) + (h >> np.uint32(1)), np.where(begins[: len(h)], np.where(h & np.uint32(1), -weight, weight), 0.0), len(out))
+            own = begins[: len(h)]
+            h = h[own]
+            places.append((row[: len(own)][own] << self.bits) + (h >> np.uint32(1)))
+            weights.append(np.where(h & np.uint32(1), -weight, weight))
+        if not places:
+            return np.zeros((len(which), 1 << self.bits), np.float32)
+        out = np.bincount(np.concatenate(places), np.concatenate(weights), len(which) << self.bits)
         return (out.reshape(len(which), -1) / self.norms[which][:, None]).astype(np.float32)
 
     def kernel(self, which: np.ndarray, landmarks: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
@@ -335,20 +345,33 @@ def _train(mapped: np.ndarray, chosen: np.ndarray, bad: np.ndarray, use: np.ndar
     return squared_hinge(mapped[rows], y, weight / weight.sum(), RIDGE, start)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents, drawn by a hash of the id."""
+def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_characters: int = MOST_CHARACTERS) -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` labelled documents and ``most_characters`` of text, drawn by a hash of the id.
+
+    Only labels of documents that are there and have a text are drawn from. A document that comes several times counts
+    once, with its smallest text; one longer than a hundredth of ``most_characters`` isn't drawn.
+    """
     votes = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("mean")).select("doc_id", (F.col("mean") >= 0.5).cast("int").alias("label"))
-    drawn = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
-    return texts.join(drawn, "doc_id").orderBy("doc_id").select("text", "label")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
+    # Sizes first, so that only the texts drawn are shuffled; copies of a document fall together before the shuffle.
+    sized = texts.select("doc_id", F.length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).filter(F.col("size") <= most_characters // 100)
+    drawn = sized.join(votes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # A running sum over the rows drawn, at most ``most``.
+    within = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = drawn.withColumn("sum", F.sum("size").over(within)).filter(F.col("sum") <= most_characters).select("doc_id", "label")
+    return texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def model(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_units: int = MOST_UNITS) -> tuple[np.ndarray, float]:
-    rows = labelled(documents, labels, most).collect()
-    texts, given = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64)
-    if not len(texts):
-        return np.zeros(1 << BITS, np.float32), 0.0
-    return fit(texts, given, most_units)
+    """The weights and the bias. The rows drawn, a bounded number, go to one task that fits them; the driver gets the weights only."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
+        table, bias = fit([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), most_units)
+        yield pa.RecordBatch.from_arrays([pa.array([table.astype(np.float32).tobytes()]), pa.array([bias])], ["weights", "bias"])
+
+    found = labelled(documents, labels, most).repartition(1).mapInArrow(work, "weights binary, bias double").collect()
+    return (np.frombuffer(bytes(found[0][0]), np.float32), found[0][1]) if found else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,3 +64,27 @@ def test_defined_cases(spark):
     assert not any(r["flagged"] for r in rows)
     assert A.score(df.limit(0), spark.createDataFrame([], LABEL)).count() == 0
     assert {(r["source"], r["documents"]) for r in A.rates(A.score(df, spark.createDataFrame([], LABEL))).collect()} == {("a", 2), (None, 1), ("b", 3)}
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_draw(spark):
+    docs = spark.createDataFrame([(1, "a fair text", "s"), (2, "another one", "s"), (3, None, "s")], DOC)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 2002)], LABEL)
+    assert sorted(tuple(r) for r in A.labelled(docs, labels, most=10).collect()) == [(1, "a fair text", 1), (2, "another one", 0)]
+
+
+def test_a_document_that_comes_often_is_drawn_once(spark):
+    docs = spark.createDataFrame([(1, "hot", "s")] * 500 + [(1, "later text", "s"), (2, "two", "s"), (4, "long " * 400, "s")], DOC)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (4, 0)], LABEL)
+    rows = A.labelled(docs, labels, most_characters=100_000).collect()
+    assert sorted((r["doc_id"], r["text"][:5]) for r in rows) == [(1, "hot"), (2, "two")]
+    assert A.labelled(docs, labels, most=1).count() == 1
+
+
+def test_rates_against_brute_force(spark):
+    docs, truth = corpus(5, 300)
+    scored = A.score(spark.createDataFrame(docs, DOC), spark.createDataFrame(list(enumerate(truth)), LABEL)).cache()
+    want = {}
+    for r in scored.collect():
+        n, bad = want.get(r["source"], (0, 0))
+        want[r["source"]] = (n + 1, bad + r["flagged"])
+    assert {(r["source"], r["documents"], r["flagged"], r["rate"]) for r in A.rates(scored).collect()} == {(k, n, bad, round(bad / n, 6)) for k, (n, bad) in want.items()}
