@@ -259,10 +259,11 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
         second, first = np.diag(penalty), np.zeros(n)
         for at in range(0, len(x), block):
             a = np.concatenate([x[at : at + block], np.ones((len(x[at : at + block]), 1))], axis=1)
-            active = y[at : at + block] * (a @ w) < 1
-            mass = weight[at : at + block] * active
+            # Rows beyond the margin have no part in the step.
+            active = np.flatnonzero(y[at : at + block] * (a @ w) < 1)
+            a, mass = a[active], weight[at : at + block][active]
             second += a.T @ (a * mass[:, None])
-            first += a.T @ (mass * y[at : at + block])
+            first += a.T @ (mass * y[at : at + block][active])
         new = np.linalg.solve(second, first)
         if np.abs(new - w).max() < 1e-5:
             return new
