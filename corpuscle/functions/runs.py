@@ -24,7 +24,10 @@ OTHER, LETTER, MARK, DIGIT, NUMBER, PUNCTUATION, SPACE = range(7)
 def categories() -> np.ndarray:
     """The class of every code point."""
     kinds = {"L": LETTER, "M": MARK, "N": NUMBER, "P": PUNCTUATION}
-    out = np.fromiter((DIGIT if (c := unicodedata.category(chr(i))) == "Nd" else kinds.get(c[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
+    out = np.full(0x110000, OTHER, np.uint8)
+    # Planes 4 to 13 are unassigned, 15 and 16 private use.
+    for low, high in ((0, 0x40000), (0xE0000, 0xF0000)):
+        out[low:high] = np.fromiter((DIGIT if (c := unicodedata.category(chr(i))) == "Nd" else kinds.get(c[0], OTHER) for i in range(low, high)), np.uint8, high - low)
     out[list(WHITE_SPACE)] = SPACE
     return out
 
