@@ -1,16 +1,21 @@
 """Most similar vectors for every vector, by multi-index hashing.
 
 Each vector gets a binary code: the signs of learned rotations (iterative
-quantization, fitted on a bounded sample; every vector is indexed). The code is cut
-into substrings, each the key of one index. By the pigeonhole principle two codes
-at a Hamming distance of at most ``tables * (radius + 1) - 1`` agree in some
+quantization, fitted on a bounded sample; every vector is indexed). Part of the code
+is cut into substrings, each the key of one index. By the pigeonhole principle two
+codes at a Hamming distance of at most ``tables * (radius + 1) - 1`` agree in some
 substring up to ``radius`` bits, so probing all keys within ``radius`` of a query's
-substrings meets every such code. What a bucket holds is reranked by its floats,
-in double precision, where it lies; only the best of a bucket leave it.
-
-The substring length follows the number of vectors, so that buckets keep their
-size as the collection grows. A bucket of more than ``block`` vectors is a grid of
-blocks of queries and blocks of indexed rows, spread over tasks; nothing is cut off.
+substrings meets every such code. What meets in a bucket is tested by the Hamming
+distance of the rest of the code; the floats of the survivors are reranked, in
+double precision, where they lie; only the best of a bucket leave it.
+
+``plan`` chooses tables, substring length and radius by the number of vectors: of all
+settings under which a pair at the least cosine meets with a probability of
+``RECALL`` or more, the one of least cost, a shuffled row being dearer than a test of
+two codes. So recall doesn't fall as the collection grows. (In a join each probe is a
+row that is shuffled, so more tables are mostly cheaper than a larger radius.) A
+bucket of more than ``block`` vectors is a grid of blocks of queries and blocks of
+indexed rows, spread over tasks; nothing is cut off.
 Equal vectors are one class and expanded at the end, so a vector that a third of
 the chunks share is compared once.
 
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,12 @@ from corpuscle.session import store
 
 #: Numbers of an embedding, neighbours, least cosine.
 DIMENSIONS, K, LEAST = 64, 5, 0.85
-#: Substrings (tables), bits of a substring that may differ in a probe.
-TABLES, RADIUS = 16, 0
-#: Vectors a bucket should hold on average, and the largest block of a bucket compared at once.
-BUCKET, BLOCK = 400, 4096
+#: The probability that a pair at the least cosine meets, cost of a shuffled row and of a test of two codes, largest radius and substring length.
+RECALL, ROW, TEST, MOST_RADIUS, LONGEST = 0.96, 20.0, 0.004, 2, 30
+#: Bits of the code that are tested inside buckets, and the standard deviations above the distance expected at the least cosine that are allowed.
+TESTED, DEVIATIONS = 128, 3.0
+#: The largest block of a bucket compared at once, and the survivors reranked at once.
+BLOCK, PAIRS = 4096, 100_000
 #: Vectors that the rotations are fitted on, and the rounds of the fit.
 SAMPLE, ROUNDS = 20_000, 30
 
@@ -58,6 +66,30 @@ def matrix(column: pa.Array, dimensions: int = DIMENSIONS) -> tuple[np.ndarray,
     return rows[good], values[good]
 
 
+def bit_error(cosine: float) -> float:
+    """The probability that a bit differs between two vectors of this cosine."""
+    return float(np.arccos(cosine) / np.pi)
+
+
+def plan(count: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int, int]:
+    """(tables, width, radius) for ``count`` vectors."""
+    p, best = bit_error(least), None
+    for radius in range(MOST_RADIUS + 1):
+        for width in range(max(4, radius + 1), LONGEST + 1):
+            meets = sum(comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(radius + 1))
+            tables = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - meets))))
+            probes = sum(comb(width, i) for i in range(radius + 1))
+            cost = tables * probes * (ROW + TEST * count / 2**width)
+            if best is None or cost < best[0]:
+                best = (cost, tables, width, radius)
+    return best[1:]
+
+
+def codes(vectors: np.ndarray, rotations: np.ndarray) -> np.ndarray:
+    """The signs of the rotated vectors, packed into 64-bit words (vectors x words)."""
+    return np.packbits(vectors @ rotations >= 0, axis=1).view(np.uint64)
+
+
 def fit_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """Directions (dimensions x bits): iterative quantization from as many random starts as the bits need."""
     random = np.random.default_rng(seed)
@@ -90,41 +122,40 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(h1), pa.array(h2), pa.array(raw, pa.binary())], ["chunk_id", "h1", "h2", "v"])
 
 
-def _best(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int, least: float) -> Iterator[pa.RecordBatch]:
-    """The best ``k`` of each query of one bucket block: (rid, unit vectors, is query, is indexed)."""
-    for rid, unit, asks, held in groups:
+def _best(groups: list[tuple[np.ndarray, ...]], k: int, least: float, allowed: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of each query of one bucket block: (rid, unit vectors, codes, is query, is indexed)."""
+    for rid, unit, code, asks, held in groups:
         query, index = np.flatnonzero(asks), np.flatnonzero(held)
         if not len(query) or not len(index):
             continue
-        order = np.argsort(rid[index], kind="stable")
-        index = index[order]
+        index = index[np.argsort(rid[index], kind="stable")]
         for at in range(0, len(query), 1024):
             own = query[at : at + 1024]
-            cosine = np.round(unit[own] @ unit[index].T, 6)
-            cosine[rid[own][:, None] == rid[index][None, :]] = -2
-            cosine[cosine < least] = -2
-            if cosine.shape[1] > k:
-                # A stable order of the few above the k-th value; columns lie in the order of ids.
-                bound = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
-                q, c = np.nonzero((cosine >= bound) & (cosine > -2))
-            else:
-                q, c = np.nonzero(cosine > -2)
-            value = cosine[q, c]
+            distance = np.bitwise_count(code[own, :1] ^ code[index, 0])
+            for word in range(1, code.shape[1]):
+                distance += np.bitwise_count(code[own, word : word + 1] ^ code[index, word])
+            # Floats of the survivors only; columns lie in the order of ids.
+            q, c = np.nonzero(distance <= allowed)
+            differ = rid[own[q]] != rid[index[c]]
+            q, c = q[differ], c[differ]
+            value = np.concatenate([np.einsum("ij,ij->i", unit[own[q[i : i + PAIRS]]], unit[index[c[i : i + PAIRS]]]) for i in range(0, len(q), PAIRS)]) if len(q) else np.zeros(0)
+            value = np.round(value, 6)
+            near = value >= least
+            q, c, value = q[near], c[near], value[near]
             rank = np.lexsort((c, -value, q))
             q, c, value = q[rank], c[rank], value[rank]
-            first = np.searchsorted(q, q)
-            keep = np.arange(len(q)) - first < k
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
             yield pa.RecordBatch.from_arrays([pa.array(rid[own][q[keep]]), pa.array(rid[index][c[keep]]), pa.array(value[keep])], ["q", "c", "cosine"])
 
 
-def _buckets(k: int, least: float, dimensions: int):
+def _buckets(k: int, least: float, dimensions: int, tested: np.ndarray, allowed: int):
     """Buckets lie one after another; one may go over the border of batches."""
 
     def run(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        label, rid, unit, asks, held = (np.concatenate(x) for x in zip(*parts))
+        label, rid, unit, code, asks, held = (np.concatenate(x) for x in zip(*parts))
         cuts = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
         ends = np.append(cuts[1:], len(label))
-        yield from _best([(rid[a:b], unit[a:b], asks[a:b], held[a:b]) for a, b in zip(cuts, ends) if b - a > 1], k, least)
+        yield from _best([(rid[a:b], unit[a:b], code[a:b], asks[a:b], held[a:b]) for a, b in zip(cuts, ends) if b - a > 1], k, least, allowed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
@@ -134,7 +165,7 @@ def _buckets(k: int, least: float, dimensions: int):
             label = batch.column(0).to_numpy(zero_copy_only=False)
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, dimensions).astype(np.float64)
             unit = values / np.linalg.norm(values, axis=1, keepdims=True)
-            row = (label, batch.column(1).to_numpy(zero_copy_only=False), unit, batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False))
+            row = (label, batch.column(1).to_numpy(zero_copy_only=False), unit, codes(unit, tested), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False))
             last = int(np.searchsorted(np.cumsum(label[::-1] != label[-1]) > 0, True))
             cut = len(label) - last
             if cut:
@@ -151,12 +182,16 @@ def _buckets(k: int, least: float, dimensions: int):
     return work
 
 
-def nearest_classes(classes: DataFrame, count: int, k: int = K, least: float = LEAST, tables: int = TABLES, radius: int = RADIUS, bucket: int = BUCKET, block: int = BLOCK, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(q, c, cosine): up to ``k`` neighbours of every different vector of ``classes`` (rid, v), a stored table of ``count`` rows."""
-    width = min(30, max(4, int(np.ceil(np.log2(max(count, 2) / bucket)))))
-    drawn = classes.select("v").orderBy(F.xxhash64("rid")).limit(SAMPLE) if count > SAMPLE else classes.select("v")
+def nearest_classes(classes: DataFrame, count: int, k: int = K, least: float = LEAST, tables: int | None = None, width: int | None = None, radius: int | None = None, block: int = BLOCK, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(q, c, cosine): up to ``k`` neighbours of every different vector of ``classes`` (rid, v), a stored table planned for ``count`` rows."""
+    planned = plan(count, least)
+    tables, width, radius = (own if given is None else given for given, own in zip((tables, width, radius), planned))
+    drawn = classes.select("v").orderBy(F.xxhash64("rid")).limit(SAMPLE) if count > SAMPLE else classes.select("v").limit(SAMPLE)
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in drawn.toLocalIterator()), np.float32).reshape(-1, dimensions).astype(np.float64)
-    rotations = fit_rotations(sample, tables * width)
+    learned = fit_rotations(sample, TESTED + tables * width)
+    tested, rotations = np.ascontiguousarray(learned[:, :TESTED]), np.ascontiguousarray(learned[:, TESTED:])
+    error = bit_error(least)
+    allowed = int(TESTED * error + DEVIATIONS * np.sqrt(TESTED * error * (1 - error)))
     flips = np.array([0, *(sum(1 << i for i in bits) for r in range(1, radius + 1) for bits in combinations(range(width), r))], dtype=np.int64)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,13 +220,13 @@ def nearest_classes(classes: DataFrame, count: int, k: int = K, least: float = L
         rows = grid.select(F.xxhash64("bucket", "cell.x", "cell.y").alias("label"), "rid", "v", asks.alias("asks"), held.alias("held"))
     else:
         rows = rows.select(F.col("bucket").alias("label"), "rid", "v", F.lit(True).alias("asks"), F.col("home").alias("held"))
-    met = rows.repartition("label").sortWithinPartitions("label").mapInArrow(_buckets(k, least, dimensions), "q bigint, c bigint, cosine double")
+    met = rows.repartition("label").sortWithinPartitions("label").mapInArrow(_buckets(k, least, dimensions, tested, allowed), "q bigint, c bigint, cosine double")
     best = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "c")
     return met.repartition("q").dropDuplicates(["q", "c"]).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
-def neighbours(vectors: DataFrame, k: int = K, least: float = LEAST, **index) -> DataFrame:
-    """(chunk_id, neighbour_id, cosine) of ``vectors`` (chunk_id, embedding)."""
+def neighbours(vectors: DataFrame, k: int = K, least: float = LEAST, count: int | None = None, **index) -> DataFrame:
+    """(chunk_id, neighbour_id, cosine) of ``vectors`` (chunk_id, embedding), planned for their number or for ``count`` of them."""
     own = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding").filter("chunk_id is not null and embedding is not null")
     rows = store(own.mapInArrow(_vectors, "chunk_id string, h1 bigint, h2 bigint, v binary"), "vectors")
     pick = rows.groupBy("chunk_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("chunk_id", "h.h1", "h.h2")
@@ -199,7 +234,7 @@ def neighbours(vectors: DataFrame, k: int = K, least: float = LEAST, **index) ->
     # In the order of their smallest chunk_id, so that ties by rid are ties by id.
     classes = store(rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1").orderBy("chunk_id").select(F.monotonically_increasing_id().alias("rid"), "h1", "h2", "v"), "vector-classes")
     members = pick.join(classes.select("h1", "h2", "rid"), ["h1", "h2"]).select("rid", "chunk_id")
-    near = nearest_classes(classes, classes.count(), k, least, **index)
+    near = nearest_classes(classes, count or classes.count(), k, least, **index)
     smallest = members.withColumn("_n", F.row_number().over(Window.partitionBy("rid").orderBy("chunk_id"))).filter(F.col("_n") <= k + 1).drop("_n")
     others = near.join(smallest.select(F.col("rid").alias("c"), F.col("chunk_id").alias("id")), "c").select(F.col("q").alias("rid"), "id", "cosine")
     mine = smallest.select("rid", F.col("chunk_id").alias("id"), F.lit(1.0).alias("cosine"))

@@ -31,7 +31,7 @@ def brute(rows, k=5, least=0.85):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket": 30}, {"bucket": 10, "radius": 1, "tables": 12}, {"bucket": 100, "block": 16}])
+@pytest.mark.parametrize("options", [{}, {"width": 4, "tables": 12}, {"width": 6, "radius": 1, "tables": 8}, {"width": 2, "tables": 6, "block": 16}])
 def test_recall_against_brute_force(spark, options):
     rows = data(1)
     rows += rows[3:6]
@@ -50,3 +50,26 @@ def test_unusable_rows(spark):
     assert got == brute(rows)
     assert N.neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     assert N.neighbours(spark.createDataFrame(bad, SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("count", [100_000, 13_000_000, 1_700_000_000])
+def test_recall_keeps_up_with_the_size(spark, count):
+    """Planned for large collections, with their long substrings, the index finds as much."""
+    tables, width, radius = N.plan(count)
+    rows = data(4, 500, 0)
+    got = {(r[0], r[1]) for r in N.neighbours(spark.createDataFrame(rows, SCHEMA), count=count).collect()}
+    want = brute(rows)
+    assert len(got & want) >= 0.95 * len(want) and count / 2**width < 200_000
+
+
+def test_a_pair_at_the_least_cosine_meets():
+    random = np.random.default_rng(3)
+    a, noise = random.normal(size=(2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    b = 0.85 * a + np.sqrt(1 - 0.85**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    for count in (100_000, 13_000_000, 1_700_000_000):
+        tables, width, radius = N.plan(count)
+        rotations = N.fit_rotations(a, tables * width, rounds=2)
+        x, y = (N.substrings(v, rotations, tables, width) for v in (a, b))
+        assert ((np.bitwise_count(x ^ y) <= radius).any(axis=1)).mean() >= 0.95
