@@ -129,13 +129,14 @@ def _best(groups: list[tuple[np.ndarray, ...]], k: int, least: float, allowed: i
         if not len(query) or not len(index):
             continue
         index = index[np.argsort(rid[index], kind="stable")]
-        for at in range(0, len(query), 1024):
-            own = query[at : at + 1024]
-            distance = np.bitwise_count(code[own, :1] ^ code[index, 0])
-            for word in range(1, code.shape[1]):
-                distance += np.bitwise_count(code[own, word : word + 1] ^ code[index, word])
+        words = np.ascontiguousarray(code[index].T)
+        for at in range(0, len(query), 64):
+            own = query[at : at + 64]
+            distance = np.bitwise_count(code[own, :1] ^ words[0])
+            for word in range(1, len(words)):
+                distance += np.bitwise_count(code[own, word : word + 1] ^ words[word])
             # Floats of the survivors only; columns lie in the order of ids.
-            q, c = np.nonzero(distance <= allowed)
+            q, c = np.divmod(np.flatnonzero(distance.ravel() <= allowed), len(index))
             differ = rid[own[q]] != rid[index[c]]
             q, c = q[differ], c[differ]
             value = np.concatenate([np.einsum("ij,ij->i", unit[own[q[i : i + PAIRS]]], unit[index[c[i : i + PAIRS]]]) for i in range(0, len(q), PAIRS)]) if len(q) else np.zeros(0)
