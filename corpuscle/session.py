@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made and set.
+    (tests on one machine) a temporary folder is made and set; a cluster must name one,
+    as executors can't read a folder of the driver's machine.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not current:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
         current = context.getCheckpointDir()
     return current
@@ -50,4 +53,16 @@ def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``store`` wrote and nothing reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
