@@ -8,15 +8,10 @@ the few block totals are summed by a second window. No task sees a whole query.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.session import store
-
-_KEYS = ("v0", "v1", "v2")
-
+from corpuscle.session import discard, store
 
 def _blocks(values: DataFrame, blocks: int) -> DataFrame:
     """Adds ``block`` to (query_id, score, value, ...) rows, rising with value."""
@@ -32,56 +27,28 @@ def _above(values: DataFrame, amount: Column) -> DataFrame:
     return values.withColumn("inside", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(totals, ["query_id", "score", "block"]).withColumn("total", F.col("inside") + F.col("before")).drop("inside", "before")
 
 
-def _beats(a: str, b: str, missing: float = -1e308) -> Column:
-    """Item struct ``a`` is strictly better than ``b`` in two scores or more."""
-    value = lambda s, k: F.coalesce(F.col(f"{s}.{k}"), F.lit(None))
-    better = lambda k: F.when(value(a, k).isNull(), 0).when(value(b, k).isNull(), 1).when(value(a, k) > value(b, k), 1).otherwise(0)
-    return reduce(lambda x, y: x + y, (better(k) for k in ("s0", "s1", "s2"))) >= 2
-
-
-def _winner(own: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of the items that beat all others of their query.
+def ranked(items: DataFrame, parts: int = 64) -> DataFrame:
+    """Adds ``rank`` to (query_id, chunk_id, mass): by falling mass, ties going to the smaller id.
 
-    Such an item beats every other in at least two scores, so it lies in the best
-    half of some score; candidates are the bests of a running pass per part of the
-    query, and the last one is checked against all rows by a count.
+    Rows are parted by ranges of the whole order, ids included, so neither a large query nor a tie that all its items
+    share lies in one part; the ranks of a part begin behind the counts of the parts before it.
     """
-    schema = own.schema
+    order = (F.col("query_id"), (-F.col("mass")).alias("minus"), F.col("chunk_id"))
+    placed = store(items.select("query_id", "chunk_id", "mass").repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "walk-parts")
+    inside = Window.partitionBy("query_id", "part").orderBy(F.col("mass").desc(), "chunk_id")
+    before = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("query_id", "part").agg(F.count("*").alias("n")).select("query_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return placed.withColumn("n", F.row_number().over(inside)).join(counts, ["query_id", "part"]).select("query_id", "chunk_id", "mass", (F.col("n") + F.col("before")).cast("long").alias("rank"))
 
-    def passes(batches):
-        best: dict[str, tuple] = {}
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                top = best.get(row.query_id)
-                best[row.query_id] = row if top is None or _better(row, top) else top
-        if best:
-            import pandas as pd
 
-            yield pd.DataFrame(list(best.values()), columns=schema.names)
+def walk_large(own: DataFrame, damping: float, steps: int, blocks: int = 64) -> DataFrame:
+    """(query_id, chunk_id, mass) as by ``ranking.walk``, for (query_id, chunk_id, s0, s1, s2) rows of large queries.
 
-    parts = own.repartition("query_id", "chunk_id").mapInPandas(passes, schema)
-    last = parts.repartition("query_id").mapInPandas(passes, schema).select("query_id", F.struct("chunk_id", "s0", "s1", "s2").alias("w"))
-    met = own.select("query_id", F.struct("chunk_id", "s0", "s1", "s2").alias("o")).join(last, "query_id").filter(F.col("w.chunk_id") != F.col("o.chunk_id"))
-    return met.groupBy("query_id", F.col("w.chunk_id").alias("chunk_id")).agg(F.min(_beats("w", "o").cast("int")).alias("all")).filter("all = 1").select("query_id", "chunk_id")
-
-
-def _better(a, b) -> bool:
-    wins = 0
-    for k in ("s0", "s1", "s2"):
-        x, y = getattr(a, k), getattr(b, k)
-        x, y = (None if v is None or v != v else v for v in (x, y))
-        wins += x is not None and (y is None or x > y)
-    return wins >= 2
-
-
-def rank_walk_large(own: DataFrame, damping: float, steps: int, blocks: int = 64) -> DataFrame:
-    """As ``ranking._solve``, for (query_id, chunk_id, s0, s1, s2) rows of large queries."""
-    # Missing takes a code below every value, infinities included.
-    coded = own.select("query_id", "chunk_id", *(F.struct(F.col(f"s{j}").isNotNull().cast("int").alias("there"), F.coalesce(F.col(f"s{j}"), F.lit(0.0)).alias("at")).alias(f"c{j}") for j in range(3)))
-    each = coded.select("query_id", "chunk_id", F.posexplode(F.array("c0", "c1", "c2")).alias("score", "value"))
-    # Values become ranks first: struct values can't be cut at quantiles, doubles can.
-    each = each.select("query_id", "chunk_id", "score", F.when(F.col("value.there") == 0, F.lit(float("-inf"))).otherwise(F.greatest(F.lit(-1.7e308), F.col("value.at"))).alias("value"))
-    each = store(each, "walk-values")
+    The mass is written after each step, as a step reads it twice; the one before is deleted.
+    """
+    # A missing score stands below every value.
+    scores = F.array(*(F.coalesce(F.greatest(F.lit(-1.7e308), F.col(f"s{j}")), F.lit(float("-inf"))) for j in range(3)))
+    each = store(own.select("query_id", "chunk_id", F.posexplode(scores).alias("score", "value")), "walk-values")
     counted = _blocks(each.groupBy("query_id", "score", "value").agg(F.count("*").alias("n")), blocks)
     steps_of = store(_above(counted, F.col("n")).select("query_id", "score", "value", "block", F.col("total").alias("above")), "walk-ranks")
     size = own.groupBy("query_id").agg(F.count("*").alias("size"))
@@ -92,14 +59,6 @@ def rank_walk_large(own: DataFrame, damping: float, steps: int, blocks: int = 64
         handed = held.withColumn("handed", F.when(F.col("above") > 0, F.col("held") / F.col("above")).otherwise(0.0))
         gains = below(handed).select("query_id", "score", "value", "above", F.col("total").alias("gain"))
         got = each.join(gains, ["query_id", "score", "value"]).join(mass, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "size", (F.col("gain") + F.when(F.col("above") == 0, F.col("mass")).otherwise(0.0)).alias("g"))
-        mass = store(got.groupBy("query_id", "chunk_id", "size").agg((F.lit((1 - damping)) / F.first("size") + F.lit(damping / 3) * F.sum("g")).alias("mass")), "walk-mass")
-    final = mass.withColumn("mass", F.round("mass", 12))
-    winner = _winner(own).withColumn("beats_all", F.lit(True))
-    # The rank is one more than the items of more mass, ties going to the smaller id.
-    valued = final.select("query_id", F.lit(0).alias("score"), "chunk_id", F.col("mass").alias("value"))
-    sums = _above(_blocks(valued.groupBy("query_id", "score", "value").agg(F.count("*").alias("n")), blocks), F.col("n")).select("query_id", F.col("value").alias("mass"), F.col("total").alias("ahead"))
-    tie = Window.partitionBy("query_id", "mass").orderBy("chunk_id")
-    walked = final.join(sums, ["query_id", "mass"]).withColumn("walk_rank", F.col("ahead") + F.row_number().over(tie)).join(winner, ["query_id", "chunk_id"], "left")
-    top = walked.filter("beats_all").select("query_id", F.col("walk_rank").alias("from"))
-    rank = F.when(F.col("beats_all"), 1).when(F.col("walk_rank") < F.col("from"), F.col("walk_rank") + 1).otherwise(F.col("walk_rank"))
-    return walked.join(top, "query_id", "left").select("query_id", "chunk_id", "mass", F.col("walk_rank").cast("long"), rank.cast("long").alias("final_rank"), F.coalesce("beats_all", F.lit(False)).alias("beats_all"))
+        last, mass = mass, store(got.groupBy("query_id", "chunk_id", "size").agg((F.lit((1 - damping)) / F.first("size") + F.lit(damping / 3) * F.sum("g")).alias("mass")), "walk-mass")
+        discard(last)
+    return mass.select("query_id", "chunk_id", "mass")

@@ -7,13 +7,15 @@ range. The stationary mass is found by power iteration, where each score's step
 one suffix sum over its sorted order: an item of rank r hands mass/r to each item
 above it. Items are ordered by stationary mass; ties go to the smaller chunk_id.
 
-An item that beats every other item of its query in a majority of the scores goes
-first: candidates are met in the order of the walk (a bubble pass, as in local
-Kemenization), and the one that reaches the top is checked against all others.
+The walk is repeated where it is contradicted: the items that beat its first item in a
+majority of the scores go ahead of all others, in the order of a walk among them alone,
+and so on while there are any (each round has fewer items). An item that beats every
+other one is in each of these rounds, so it comes first; ``beats_all`` checks the first
+item against all others.
 
 Queries of up to ``block`` items are solved whole, many per task. A larger query is
-never gathered: its ranks and sums are taken by range-partitioned prefix sums
-(``corpuscle.llm.prefix``), with the same result.
+never gathered: its ranks and sums are taken by distributed prefix sums
+(``corpuscle.llm.prefix``), with the same result; so are its further rounds.
 
 Defined cases: null or NaN scores and ranks below 1 are missing, missing is worse
 than any value and equal to missing; infinite scores compare as they are; repeated
@@ -28,16 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.prefix import rank_walk_large
+from corpuscle.llm.prefix import ranked, walk_large
+from corpuscle.session import store
 
 #: The share of the walk that follows the scores, and the steps of the power iteration.
 DAMPING, STEPS = 0.85, 60
 
 SCORES = ("rrf_score", "bm25_rank", "dense_rank")
-ORDER_SCHEMA = "query_id string, chunk_id string, mass double, walk_rank long, final_rank long, beats_all boolean"
+ORDER_SCHEMA = "query_id string, chunk_id string, mass double, final_rank long, beats_all boolean"
 
 
 def usable(results: DataFrame) -> DataFrame:
@@ -83,22 +86,31 @@ def stationary(scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS)
     return walk(np.ascontiguousarray(scores.T)[:, None, :], np.ones((1, len(scores)), bool), damping, steps)[0]
 
 
-def majority_tops(codes: np.ndarray, there: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Per query the place of the item that beats all others in a majority of scores, or -1.
-
-    A bubble pass up the order meets the only possible one; it is checked against all.
-    """
-    queries, m = there.shape
-    row, need = np.arange(queries), len(codes) // 2 + 1
-    top = order[:, -1].copy()
-    for at in range(m - 2, -1, -1):
-        other = order[:, at]
-        kept = (codes[:, row, top] > codes[:, row, other]).sum(axis=0) >= need
-        # Places not in use lie at the end of the order.
-        top = np.where(kept & there[row, top], top, other)
-    beaten = (codes[:, row, top][:, :, None] > codes).sum(axis=0) >= need
+def rounds(codes: np.ndarray, there: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mass of the first walk, order of the places, whether the first one beats all others) of many queries at once."""
+    need = len(codes) // 2 + 1
+    row = np.arange(len(there))
+    beaten_by = lambda top: (codes > codes[:, row, top][:, :, None]).sum(axis=0) >= need
+    depth = np.where(there, 0, -1)
+    first = mass = np.where(there, np.round(walk(codes, there, damping, steps), 12), -1.0)
+    inside, open_ = there, np.ones(len(there), bool)
+    while True:
+        top = np.argmax(np.where(inside, mass, -2.0), axis=1)
+        inside = inside & beaten_by(top) & open_[:, None]
+        open_ = inside.any(axis=1)
+        if not open_.any():
+            break
+        depth += inside
+        own = np.flatnonzero(open_)
+        again = np.full(mass.shape, -1.0)
+        # Only the items of the round count: the others stand below all and hold no mass.
+        again[own] = np.round(walk(np.where(inside[own], codes[:, own], -3.0), inside[own], damping, steps), 12)
+        mass = np.where(inside, again, mass)
+    order = np.lexsort((np.broadcast_to(np.arange(there.shape[1]), there.shape), -mass, -depth), axis=1)
+    top = order[:, 0]
+    beaten = ((codes[:, row, top][:, :, None] > codes).sum(axis=0) >= need) & there
     size = there.sum(axis=1)
-    return np.where((size > 1) & ((beaten & there).sum(axis=1) == size - 1), top, -1)
+    return first, order, (size > 1) & (beaten.sum(axis=1) == size - 1)
 
 
 def _solver(damping: float, steps: int, most: int = 500_000):
@@ -139,28 +151,54 @@ def _block(names: pa.Array, items: pa.StructArray, own: np.ndarray, sizes: np.nd
         code = np.full(len(known), -1.0)
         code[known] = np.unique(value.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)[1]
         codes[j, query, inner] = code
-    mass = np.where(there, np.round(walk(codes, there, damping, steps), 12), -1.0)
-    walked = np.argsort(-mass, axis=1, kind="stable")
-    top = majority_tops(codes, there, walked)
-    rank = np.empty_like(walked)
-    np.put_along_axis(rank, walked, np.broadcast_to(np.arange(1, m + 1), walked.shape), axis=1)
-    best = np.arange(m)[None, :] == top[:, None]
-    # The winner goes first, those ahead of it move down by one.
-    ahead = np.where(top >= 0, rank[np.arange(len(own)), np.maximum(top, 0)], 0)[:, None]
-    final = np.where(best, 1, rank + (rank < ahead))
+    mass, order, wins = rounds(codes, there, damping, steps)
+    final = np.empty_like(order)
+    np.put_along_axis(final, order, np.broadcast_to(np.arange(1, m + 1), order.shape), axis=1)
     flat = lambda x: pa.array(x[query, inner])
-    return pa.RecordBatch.from_arrays([names.take(pa.array(own[query])), rows.field("chunk_id"), flat(mass), flat(rank), flat(final), flat(best)], ["query_id", "chunk_id", "mass", "walk_rank", "final_rank", "beats_all"])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(own[query])), rows.field("chunk_id"), flat(mass), flat(final), flat((final == 1) & wins[:, None])], ["query_id", "chunk_id", "mass", "final_rank", "beats_all"])
 
 
 def rank_walk(results: DataFrame, block: int = 50_000, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """The order of every query: (query_id, chunk_id, mass, walk_rank, final_rank, beats_all)."""
-    own = usable(results)
+    """The order of every query: (query_id, chunk_id, mass, final_rank, beats_all)."""
+    return _ordered(usable(results), block, damping, steps)
+
+
+def _ordered(own: DataFrame, block: int, damping: float, steps: int) -> DataFrame:
     large = own.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select("query_id")
     any_large = bool(large.limit(1).collect())
     small = own.join(large, "query_id", "left_anti") if any_large else own
     packed = small.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "s0", "s1", "s2")).alias("items"))
     solved = packed.mapInArrow(_solver(damping, steps), ORDER_SCHEMA)
-    return solved.unionByName(rank_walk_large(own.join(large, "query_id", "left_semi"), damping, steps)) if any_large else solved
+    return solved.unionByName(_large(own.join(large, "query_id", "left_semi"), block, damping, steps)) if any_large else solved
+
+
+def _beats(a: str, b: str) -> Column:
+    """The item of struct ``a`` is strictly better than that of ``b`` in a majority of the scores."""
+    better = lambda k: F.when(F.col(f"{a}.{k}").isNull(), 0).when(F.col(f"{b}.{k}").isNull(), 1).otherwise((F.col(f"{a}.{k}") > F.col(f"{b}.{k}")).cast("int"))
+    return better("s0") + better("s1") + better("s2") >= len(SCORES) // 2 + 1
+
+
+def _large(own: DataFrame, block: int, damping: float, steps: int) -> DataFrame:
+    """As ``_block`` for large queries; a further round among few items is solved whole again."""
+    item = F.struct("chunk_id", "s0", "s1", "s2")
+    walked = store(own.join(walk_large(own, damping, steps), ["query_id", "chunk_id"]).withColumn("mass", F.round("mass", 12)), "walk-order")
+    top = lambda df, *order: df.groupBy("query_id").agg(F.min_by(item, F.struct(*order)).alias("top"))
+    leads = top(walked, -F.col("mass"), F.col("chunk_id"))
+    # One leader a query: a hot query's items meet it by a broadcast or by AQE's split of the other side.
+    ahead = walked.withColumn("own", item).join(leads, "query_id").withColumn("ahead", _beats("own", "top"))
+    ahead = store(ahead.select("query_id", "chunk_id", "s0", "s1", "s2", "mass", "ahead"), "walk-ahead")
+    again = ahead.filter("ahead").select("query_id", "chunk_id", "s0", "s1", "s2")
+    some = bool(again.limit(1).collect())
+    before = ahead.groupBy("query_id").agg(F.sum(F.col("ahead").cast("long")).alias("_before"))
+    rest = ranked(ahead.filter(~F.col("ahead")).select("query_id", "chunk_id", "mass")).join(before, "query_id").select("query_id", "chunk_id", "mass", (F.col("rank") + F.col("_before")).alias("final_rank"))
+    if some:
+        first = _ordered(again, block, damping, steps).select("query_id", "chunk_id", "final_rank").join(ahead.select("query_id", "chunk_id", "mass"), ["query_id", "chunk_id"])
+        rest = rest.unionByName(first.select("query_id", "chunk_id", "mass", "final_rank"))
+    final = store(rest, "walk-final")
+    winner = own.join(final.filter("final_rank = 1").select("query_id", "chunk_id"), ["query_id", "chunk_id"]).select("query_id", item.alias("top"))
+    met = own.withColumn("own", item).join(winner, "query_id").filter(F.col("own.chunk_id") != F.col("top.chunk_id"))
+    wins = met.groupBy("query_id").agg(F.min(_beats("top", "own").cast("int")).alias("_wins"))
+    return final.join(wins, "query_id", "left").select("query_id", "chunk_id", "mass", "final_rank", ((F.col("final_rank") == 1) & (F.coalesce("_wins", F.lit(0)) == 1)).alias("beats_all"))
 
 
 def first_by_majority(results: DataFrame) -> DataFrame:
