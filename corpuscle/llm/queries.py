@@ -124,6 +124,19 @@ _P5 = """with s as (select query_id, chunk_id, max(case when not isnan(rrf_score
   select x.query_id, x.chunk_id from s x join s y on x.query_id = y.query_id and x.chunk_id <> y.chunk_id group by all
   having bool_and((case when x.a > y.a or (x.a is not null and y.a is null) then 1 else 0 end) + (case when x.b > y.b or (x.b is not null and y.b is null) then 1 else 0 end) + (case when x.c > y.c or (x.c is not null and y.c is null) then 1 else 0 end) >= 2)"""
 
+# The walk of one query: how many items each score has above an item, the chance of each step, sixty steps; then the rounds.
+_P5_ABOVE = "list_transform({0}, lambda x: struct_pack(c := x.c, a := x.a, b := x.b, d := x.d, na := len(list_filter({0}, lambda z: z.a > x.a)), nb := len(list_filter({0}, lambda z: z.b > x.b)), nd := len(list_filter({0}, lambda z: z.d > x.d))))"
+_P5_STEP = "list_transform(x, lambda y: list_transform(x, lambda z: ((case when y.a > z.a then 1.0::double / z.na else 0 end) + (case when y.b > z.b then 1.0::double / z.nb else 0 end) + (case when y.d > z.d then 1.0::double / z.nd else 0 end) + (case when y.c = z.c then (z.na = 0)::int + (z.nb = 0)::int + (z.nd = 0)::int else 0 end)) / 3))"
+_P5_WALKED = f"""select query_id, depth, items, list_transform(list_reduce(list_concat([list_transform(items, lambda i: 1.0::double / len(items))], list_transform(range(60), lambda i: []::double[])), lambda m, e: list_transform(w, lambda r: 0.15::double / len(w) + 0.85::double * list_dot_product(m, r))), lambda v: round(v, 12)) mass
+    from (select query_id, depth, items, {_P5_STEP} w from (select query_id, depth, items, {_P5_ABOVE.format('items')} x from ({{0}})))"""
+_P5_ORDER = f"""with recursive s as (select query_id, chunk_id, max(case when not isnan(rrf_score) then rrf_score end) a, max(case when bm25_rank >= 1 then -bm25_rank end) b, max(case when dense_rank >= 1 then -dense_rank end) d
+    from search_results where query_id is not null and chunk_id is not null group by all),
+  q as (select query_id, 0 depth, list(struct_pack(c := chunk_id, a := coalesce(a, '-infinity'::double), b := coalesce(b, '-infinity'::double), d := coalesce(d, '-infinity'::double)) order by chunk_id) items from s group by 1),
+  r as ({_P5_WALKED.format('from q')} union all
+    {_P5_WALKED.format("select query_id, depth + 1 depth, list_filter(items, lambda i: (i.a > t.a)::int + (i.b > t.b)::int + (i.d > t.d)::int >= 2) items from (select *, items[list_position(mass, list_max(mass))] t from r)")} where len(items) > 0),
+  e as (select query_id, depth, unnest(items).c chunk_id, unnest(mass) mass from r)
+  select query_id, chunk_id, row_number() over (partition by query_id order by depth desc, mass desc, chunk_id) as final_rank from (select * from e qualify row_number() over (partition by query_id, chunk_id order by depth desc) = 1)"""
+
 _GRAMS = "select {0} i, list_slice(w, s, s + 11) g from (select {0}, w, unnest(generate_series(1, len(w) - 11)) s from (select {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+') w from {1} where text is not null) where len(w) >= 12)"
 _P9 = f"select distinct d.i as doc_id, e.i as item_id from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) e on d.g = e.g"
 
@@ -148,4 +161,4 @@ _P7_CLASSES = rf"""with b as (select id, min(id) over (partition by k) class_id
 _P9_ITEMS = f"""select item_id, count(*) as documents, least(1.0, round(max(n) / any_value(total), 6))::double as largest_share from (select d.i doc, e.i item_id, count(distinct d.g) n from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) e on d.g = e.g group by all)
     join (select item_id, greatest(1, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+')) - 11) total from eval_items) using (item_id) group by 1"""
 
-SQL = {"p1_golden": _P1_GOLDEN, "p7_classes": _P7_CLASSES, "p9_items": _P9_ITEMS, "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p7_found": _P7, "p9_found": _P9}
+SQL = {"p1_golden": _P1_GOLDEN, "p7_classes": _P7_CLASSES, "p9_items": _P9_ITEMS, "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p5_order": _P5_ORDER, "p7_found": _P7, "p9_found": _P9}
