@@ -43,15 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def store(df: DataFrame, label: str, partition_by: list[str] | None = None, row_group: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The written table survives the loss of any executor, cuts the lineage and
-    gives later steps exact statistics.
+    gives later steps exact statistics. ``row_group``: bytes of a row group, for large rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
