@@ -61,6 +61,10 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_near(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), slack=2).select("doc_id", "item_id")
+
+
 def p9_items(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "p7_classes": p7_classes,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p9_near": p9_near,
     "p9_items": p9_items,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
@@ -140,6 +145,16 @@ _P5_ORDER = f"""with recursive s as (select query_id, chunk_id, max(case when no
 _GRAMS = "select {0} i, list_slice(w, s, s + 11) g from (select {0}, w, unnest(generate_series(1, len(w) - 11)) s from (select {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+') w from {1} where text is not null) where len(w) >= 12)"
 _P9 = f"select distinct d.i as doc_id, e.i as item_id from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) e on d.g = e.g"
 
+# From the rarest word of a phrase: starts at which each word stands within two places of its own.
+_P9_NEAR = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}]+') w from documents where doc_id is not null and text is not null),
+    t as (select doc_id, unnest(w) word, generate_subscripts(w, 1) pos from d), f as (select word, count(*) n from t group by 1),
+    e as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}]+') v from eval_items where text is not null),
+    g as (select item_id, list_slice(v, s, s + 11) g from (select item_id, v, unnest(generate_series(1, len(v) - 11)) s from e where len(v) >= 12)),
+    p as (select g, arg_min(j, (n, j)) j from (select g, g[j] word, j from (select distinct g from g), range(1, 13) r(j)) join f using (word) group by g having count(*) = 12),
+    s as (select distinct doc_id, g, pos - j + 1 + delta s from p join t on word = g[j], range(-2, 3) r(delta)),
+    m as (select distinct doc_id, g from s join d using (doc_id) where list_bool_and(list_transform(range(0, 12), lambda j: s + j + 2 >= 1 and list_contains(list_slice(w, greatest(1, s + j - 2), greatest(1, s + j + 2)), g[j + 1]))))
+  select distinct doc_id, item_id from m join g using (g)"""
+
 _P3 = """with v as (select chunk_id, any_value(embedding)::double[64] e from chunk_vectors where chunk_id is not null and len(embedding) = 64
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
   s as (select a.chunk_id, b.chunk_id neighbour_id, round(array_cosine_similarity(a.e, b.e), 6) c from v a join v b on a.chunk_id <> b.chunk_id)
@@ -161,4 +176,4 @@ _P7_CLASSES = rf"""with b as (select id, min(id) over (partition by k) class_id
 _P9_ITEMS = f"""select item_id, count(*) as documents, least(1.0, round(max(n) / any_value(total), 6))::double as largest_share from (select d.i doc, e.i item_id, count(distinct d.g) n from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) e on d.g = e.g group by all)
     join (select item_id, greatest(1, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+')) - 11) total from eval_items) using (item_id) group by 1"""
 
-SQL = {"p1_golden": _P1_GOLDEN, "p7_classes": _P7_CLASSES, "p9_items": _P9_ITEMS, "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p5_order": _P5_ORDER, "p7_found": _P7, "p9_found": _P9}
+SQL = {"p1_golden": _P1_GOLDEN, "p7_classes": _P7_CLASSES, "p9_items": _P9_ITEMS, "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p5_order": _P5_ORDER, "p7_found": _P7, "p9_found": _P9, "p9_near": _P9_NEAR}

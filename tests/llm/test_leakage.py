@@ -41,7 +41,7 @@ def test_against_brute_force(spark, seed, n):
 def test_several_passes(spark):
     docs, items = data(4)
     a, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
-    assert {tuple(r) for r in L.leaks(a, b, 4, most_tokens=20).collect()} == {tuple(r) for r in L.leaks(a, b, 4).collect()}
+    assert {tuple(r) for r in L.leaks(a, b, 4, most_characters=100).collect()} == {tuple(r) for r in L.leaks(a, b, 4).collect()}
 
 
 def test_a_phrase_doesnt_run_over_documents(spark):
@@ -57,3 +57,32 @@ def test_empty(spark):
     assert L.leaks(some, none_items, 2).count() == 0
     (row,) = L.leaked_items(some, spark.createDataFrame([(1, "x a b c")], ITEM), 2).collect()
     assert (row["documents"], row["largest_share"]) == (1, round(2 / 3, 6))
+
+
+def near(doc, item, n, slack):
+    """Some start has every word of a phrase within ``slack`` of its place."""
+    w, g = ([x for x in re.findall(r"[^\W_]+", (t or "").lower())] for t in (doc, item))
+    found = set()
+    for at in range(len(g) - n + 1):
+        phrase = g[at : at + n]
+        for start in range(-n - slack, len(w) + slack):
+            if all(phrase[j] in w[max(0, start + j - slack) : max(0, start + j + slack + 1)] for j in range(n)):
+                found.add(tuple(phrase))
+    return len(found)
+
+
+@pytest.mark.parametrize("slack", [1, 2])
+def test_proximity_against_brute_force(spark, slack):
+    docs, items = data(6)
+    docs = [(i, re.sub(r"(v7|the)", r"\1 extra", t) if i % 2 else t) for i, t in docs[:40] if t]
+    got = {(r[0], r[1]): r[2] for r in L.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), 6, slack).collect()}
+    want = {(d, i): near(x, y, 6, slack) for d, x in docs for i, y in items if i is not None and near(x, y, 6, slack)}
+    assert got == want
+
+
+def test_the_index_is_stored_and_searched_again(spark):
+    docs, items = data(7)
+    stored = L.index(spark.createDataFrame(docs, DOC))
+    df = spark.createDataFrame(items, ITEM)
+    assert stored.stored_at and {tuple(r) for r in L.search(stored, df, 4).collect()} == {tuple(r) for r in L.leaks(spark.createDataFrame(docs, DOC), df, 4).collect()}
+    assert L.search(stored, df, 4, 1).count() >= L.search(stored, df, 4).count() > 0
