@@ -23,6 +23,13 @@ FRENCH_HINTS = (
     "resultats etude apprentissage limitees limite"
 ).split()
 
+# How a query compares two things: verb, preposition and conjunction around them, or a connector between them.
+COMPARING = (("مقارنة", "بين", "و"), ("compare|comparison", "between", "and"), ("comparaison|comparer|compare", "entre", "et"))
+CONNECTORS = ("vs", "versus", "against", "contre", r"face\s+(?:à|a)", r"comparé(?:e|s|es)?\s+(?:à|a)", r"compared\s+(?:to|with)", "مقابل", "ضد")
+
+# Fixed value: the pattern of a metric and its number, or of a number and its metric.
+METRIC_PATTERN = r"(?:(bleu|rouge[-\w]*|bertscore|meteor|chrf|comet|bleurt|f[-\s]?1|accuracy|precision|recall|em|exact\s+match|mrr|map|ndcg|perplexity|auc|mse|rmse|mae)[\s\w]{0,15}?(\d+\.?\d*)|(\d+\.?\d*)\s*(%|percent|points?)(?:\s+(?:on|for|in|at))?[\s\w]{0,20}?(bleu|rouge[-\w]*|f[-\s]?1|accuracy|precision|recall)?)"
+
 # Last words of an incomplete sentence.
 TRAILING_WORDS = "a an and as at because by for from in into of on or that the to using with which".split()
 

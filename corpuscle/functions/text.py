@@ -89,13 +89,18 @@ def title_case(c: Column | str) -> Column:
 
 
 def comparison_sides(c: Column | str) -> Column:
-    """struct(left, right) of a query that compares two things; null for others or where a side has no terms."""
+    """struct(left, right) of a query that compares two things; null for others or where a side has no terms.
+
+    A verb with a preposition opens the left side and a conjunction the right one; else a connector parts the whole query.
+    The first way that leaves terms on both sides counts.
+    """
     c = collapse(c)
-    between = r"(?iu)(?:compare|comparison)\s+between\s+(.+?)\s+and\s+(.+)|(?:comparaison|comparer|compare)\s+entre\s+(.+?)\s+et\s+(.+)|مقارنة\s+بين\s+(.+?)\s+و\s+(.+)"
-    part = lambda i: F.nullif(F.regexp_extract(c, between, i), F.lit(""))
-    connector = r"(?iu)^(.*?)(?<![\p{L}\p{N}_])(?:vs|versus|against|contre|face\s+(?:à|a)|comparé(?:e|s|es)?\s+(?:à|a)|compared\s+(?:to|with)|مقابل|ضد)\.?(?=\s|$)(.*)$"
-    trim = lambda v: F.regexp_replace(v, r"^[ :,\-?]+|[ :,\-?]+$", "")
-    left = F.coalesce(part(1), part(3), part(5), F.nullif(trim(F.regexp_extract(c, connector, 1)), F.lit("")))
-    right = F.coalesce(part(2), part(4), part(6), F.nullif(trim(F.regexp_extract(c, connector, 2)), F.lit("")))
-    usable = (F.size(query_terms(left)) > 0) & (F.size(query_terms(right)) > 0)
-    return F.when(usable, F.struct(left.alias("left"), right.alias("right")))
+
+    def sides(parts: Column) -> Column:
+        trim = lambda v: F.regexp_replace(v, r"^[ :,\-?]+|[ :,\-?]+$", "")
+        found = F.when(F.size(parts) == 2, F.struct(trim(F.get(parts, 0)).alias("left"), trim(F.get(parts, 1)).alias("right")))
+        return F.when((F.size(query_terms(found["left"])) > 0) & (F.size(query_terms(found["right"])) > 0), found)
+
+    ways = [F.split(F.get(F.split(c, rf"(?iu)(?:{verb})\s+{preposition}\s+", 2), 1), rf"(?iu)\s+{conjunction}\s+", 2) for verb, preposition, conjunction in L.COMPARING]
+    connector = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(L.CONNECTORS)})\.?(?=\s|$)"
+    return F.coalesce(*(sides(w) for w in (*ways, F.split(c, connector, 2))))

@@ -9,10 +9,6 @@ from corpuscle.functions import lexicons as L
 from corpuscle.functions.columns import col_of
 from corpuscle.functions.text import any_part, any_word, words_in
 
-_METRICS = r"bleu|rouge[-\w]*|bertscore|meteor|chrf|comet|bleurt|f[-\s]?1|accuracy|precision|recall|em|exact\s+match|mrr|map|ndcg|perplexity|auc|mse|rmse|mae"
-METRIC_FIRST = rf"({_METRICS})[\s\w]{{0,15}}?(\d+\.?\d*)"
-VALUE_FIRST = r"(\d+\.?\d*)\s*(%|percent|points?)(?:\s+(?:on|for|in|at))?[\s\w]{0,20}?(bleu|rouge[-\w]*|f[-\s]?1|accuracy|precision|recall)?"
-EITHER = f"(?:{METRIC_FIRST}|{VALUE_FIRST})"
 PERCENT = r"\b(\d+\.?\d*)\s*(?:%|percent)\b"
 FIRST_PERSON = r"\b(?:we|our|this\s+paper|this\s+work)\b"
 
@@ -49,14 +45,14 @@ def metric(c: Column | str) -> Column:
     percent = F.nullif(F.regexp_extract(c, PERCENT, 1), F.lit("")).try_cast("double")
 
     def parts(match: Column) -> Column:
-        group = lambda i: F.nullif(F.regexp_extract(match, EITHER, i), F.lit(""))
+        group = lambda i: F.nullif(F.regexp_extract(match, L.METRIC_PATTERN, i), F.lit(""))
         known = lambda v: F.when(F.array_contains(names, F.regexp_replace(v, "[- ]", "")), v)
         number = F.coalesce(group(2), group(3)).try_cast("double")
         name, value = F.coalesce(known(group(5)), known(group(1))), F.when((number > 0) & (number <= 100), number)
         return F.struct(name.alias("name"), value.alias("value"))
 
     # The text is searched once: groups are taken from the match, which is short, and a lambda's variable is evaluated once.
-    found = F.get(F.transform(F.transform(F.array(F.when(c.rlike("[0-9]"), F.regexp_extract(c, EITHER, 0)).otherwise("")), parts), lambda m: F.struct(m["name"].alias("name"), F.when(m["name"].isNotNull() | m["value"].isNotNull(), m["value"]).otherwise(percent).alias("value"))), 0)
+    found = F.get(F.transform(F.transform(F.array(F.when(c.rlike("[0-9]"), F.regexp_extract(c, L.METRIC_PATTERN, 0)).otherwise("")), parts), lambda m: F.struct(m["name"].alias("name"), F.when(m["name"].isNotNull() | m["value"].isNotNull(), m["value"]).otherwise(percent).alias("value"))), 0)
     return found
 
 

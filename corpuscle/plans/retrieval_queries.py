@@ -156,7 +156,7 @@ def claim_types(spark: SparkSession, root: str) -> DataFrame:
 
 
 _NAMES = listed([n.replace("-", "").replace(" ", "") for n in L.METRIC_NAMES])
-_EITHER = C.EITHER.replace("'", "''")
+_EITHER = L.METRIC_PATTERN.replace("'", "''")
 
 
 @query(

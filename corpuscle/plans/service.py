@@ -26,10 +26,6 @@ class NotFound(LookupError):
     """An id that the corpus doesn't hold."""
 
 
-class ClarificationRequired(ValueError):
-    """A comparison of things that aren't of one kind."""
-
-
 class InsufficientEvidence(ValueError):
     """No claim passed all checks."""
 
@@ -98,15 +94,6 @@ def bibliography(spark: SparkSession, root: str, ids: list[str]) -> DataFrame:
     return review.bibtex(own)
 
 
-def clarification(query: Column) -> Column:
-    """True for a comparison of retrieval-augmented generation with the whole field it belongs to, in either order."""
-    folded = T.folded_key(query)
-    rag, field = r"(?:rag|retrieval augmented generation)", r"(?:nlp|natural language processing)"
-    link = r"(?:vs|versus|against|or|and|et|contre|face (?:a|au))"
-    arabic = query.rlike("(?:مقابل|ضد|مقارنة\\s+بين)") & folded.rlike(rf"\b{rag}\b") & folded.rlike(rf"\b{field}\b")
-    return folded.rlike(rf"\b{rag}\b.*\b{link}\b.*\b{field}\b") | folded.rlike(rf"\b{field}\b.*\b{link}\b.*\b{rag}\b") | arabic
-
-
 def draft(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None) -> DataFrame:
     """(position, claim_id, article_id, claim_type, sentence, passage, score): the sentences of a review with their evidence.
 
@@ -117,8 +104,6 @@ def draft(spark: SparkSession, root: str, query: str, k: int = 20, encode: Calla
     if len(query.strip()) < 2:
         raise ValueError("the query is too short")
     _bounded("k", k, 5, 50)
-    if spark.range(1).select(clarification(F.lit(query))).collect()[0][0]:
-        raise ClarificationRequired("these are a method and the field it belongs to; name the methods or the measure to compare")
     english = translate(query) if translate else None
     variants = list(dict.fromkeys(v for v in (query, english) if v))
     mode = "rrf" if encode else "bm25"

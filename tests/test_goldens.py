@@ -91,6 +91,26 @@ def test_chunks(spark):
     assert chunking.chunk(df.limit(0), "doc_id").count() == 0
 
 
+def test_chunks_keep_to_the_rules():
+    """Exact offsets, starts at words, ends at sentence marks where one is in reach, no gap longer than white space."""
+    text = "\n".join(f"Sentence {i} has words enough to be kept, and more." + " tail" * (i % 7) for i in range(80))
+    found = chunking.windows(text, 300, 60)
+    assert all(text[a:b] == text[a:b].strip() and chunking.LEAST <= b - a <= 300 for a, b in found)
+    assert all(a == 0 or text[a - 1].isspace() for a, _ in found)
+    assert all(c <= b and not text[b:c].strip() for (_, b), (c, _) in zip(found, found[1:]))
+    assert all(text[b - 1] in ".!?" or text[b] == "\n" or not any(m in text[b - chunking.REACH + 1 : b] for m in ".!?\n") for _, b in found[:-1])
+    assert chunking.windows("x" * 950, 300, 60)[0] == (0, 300) and chunking.windows(" \n ", 300, 60) == []
+
+
+def test_ids_follow_from_their_parents(spark):
+    parent = "12345678-1234-5678-1234-567812345678"
+    df = spark.createDataFrame([(parent, "Sentence with enough words to be retained. " * 40)], "section_id string, text string")
+    rows = chunking.with_chunk_ids(chunking.chunk(df, "section_id")).collect()
+    assert len(rows) > 1 and all(r["id"] == str(uuid.uuid5(uuid.UUID(parent), f"chunk:{r['chunk_index']}")) for r in rows)
+    (section,) = chunking.abstract_sections(spark.createDataFrame([(parent, "An abstract.")], "id string, abstract string")).collect()
+    assert section["section_id"] == str(uuid.uuid5(uuid.UUID(parent), "section:0"))
+
+
 def test_query_terms(spark):
     assert sorted(one(spark, T.query_terms("q"), q="Comparaison de LoRA et du fine-tuning complet")) == ["comparaison", "complet", "fine", "lora", "tuning"]
     assert [one(spark, T.query_language("q"), q=q) for q in ("مقارنة بين LoRA", "étude des modèles", "a study of models")] == ["ar", "fr", "en"]
@@ -100,6 +120,9 @@ def test_query_terms(spark):
 def test_comparison_sides(spark):
     assert tuple(one(spark, T.comparison_sides("q"), q="LoRA versus full fine-tuning?")) == ("LoRA", "full fine-tuning")
     assert tuple(one(spark, T.comparison_sides("q"), q="compare between BERT and GPT")) == ("BERT", "GPT")
+    assert tuple(one(spark, T.comparison_sides("q"), q="Comparaison entre LoRA et QLoRA ?")) == ("LoRA", "QLoRA")
+    assert tuple(one(spark, T.comparison_sides("q"), q="مقارنة بين BERT و GPT")) == ("BERT", "GPT")
+    assert tuple(one(spark, T.comparison_sides("q"), q="compare between the and a, LoRA vs. adapters")) == ("compare between the and a, LoRA", "adapters")
     assert one(spark, T.comparison_sides("q"), q="attention in parsers") is None
 
 
