@@ -212,18 +212,20 @@ def relevance_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 _IN_WORD = "regexp_matches(substring(ct, ({0})::int, 1), '^[\\pL\\pM\\pN_]$')"
+_WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIPPED = f"regexp_replace(coalesce(nullif(verbatim, ''), text, ''), '^{_WS}+|{_WS}+$', '', 'g')"
+#: Per claim of ``k`` (id, a, h, v, s0, e0 and what else) its place and the first check it fails.
+_JUDGED = f"""j as (select k.*, coalesce(x.text, '') ct, x.article_id xa, x.char_start xs, b.id bid, b.title from k left join CHUNKS x on x.id = k.h left join ARTICLES b on b.id = k.a),
+    p as (select *, case when s0 >= 0 and e0 >= s0 and e0 <= length(ct) and substring(ct, s0 + 1, e0 - s0) = v then s0 else strpos(ct, v) - 1 end st from j),
+    q as (select *, case when xa <> coalesce(a, '') then 'article_id_mismatch' when bid is null then 'article_missing' when xa is null then 'missing_chunk_metadata' when v = '' then 'empty_source_text'
+      when not {_COMPLETE} then 'incomplete' when st < 0 then 'not_verbatim_in_source'
+      when (st > 0 and {_IN_WORD.format('st')} and {_IN_WORD.format('st + 1')}) or (st + length(v) < length(ct) and {_IN_WORD.format('st + length(v)')} and {_IN_WORD.format('st + length(v) + 1')}) then 'source_token_boundary'
+      when st = 0 and xs > 0 then 'source_context_unavailable' end reason from p)"""
+_judged = lambda version: _JUDGED.replace("CHUNKS", version.format("chunks")).replace("ARTICLES", version.format("articles"))
+_CLAIM = f"c.id, {_KEY.format('c.article_id')} a, {_KEY.format('c.chunk_id')} h, {_STRIPPED} v, c.char_start s0, c.char_end e0"
 
 
-@query(
-    f"""with k as (select c.id, {_KEY.format('c.article_id')} a, {_KEY.format('c.chunk_id')} h, coalesce(verbatim, text, '') v, c.char_start s0, c.char_end e0 from {LATEST.format('claims')} c),
-    j as (select k.*, coalesce(x.text, '') ct, x.article_id xa, x.char_start xs, b.id bid from k left join {LATEST.format('chunks')} x on x.id = k.h left join {LATEST.format('articles')} b on b.id = k.a),
-    p as (select *, case when s0 >= 0 and e0 > s0 and substring(ct, s0 + 1, e0 - s0) = v then s0 else strpos(ct, v) - 1 end st from j),
-    q as (select id, case when a is null or h is null then 'missing_id' when bid is null then 'article_missing' when xa is null then 'chunk_missing' when xa <> a then 'article_mismatch' when trim(v) = '' then 'empty'
-      when not {_COMPLETE} then 'incomplete' when st < 0 then 'not_verbatim_in_source'
-      when (st > 0 and {_IN_WORD.format('st')} and {_IN_WORD.format('st + 1')}) or (st + length(v) < length(ct) and {_IN_WORD.format('st + length(v)')} and {_IN_WORD.format('st + length(v) + 1')}) then 'token_boundary'
-      when st = 0 and xs > 0 then 'cut_first_sentence' end reason from p)
-    select coalesce(reason, 'passed') as reason, count(*) as n from q group by all"""
-)
+@query(f"with k as (select {_CLAIM} from {LATEST.format('claims')} c), {_judged(LATEST)} select coalesce(reason, 'passed') as reason, count(*) as n from q group by all")
 def evidence_cascade(spark: SparkSession, root: str) -> DataFrame:
     claims = records.latest(table(spark, root, "claims").select("id", "article_id", "chunk_id", "text", "verbatim", "char_start", "char_end", "loaded_at"))
     chunks = records.latest(table(spark, root, "chunks").select("id", "article_id", "text", "char_start", "loaded_at"))
@@ -231,7 +233,38 @@ def evidence_cascade(spark: SparkSession, root: str) -> DataFrame:
     return evidence.cascade(claims, chunks, articles).groupBy(F.coalesce("reject_reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+#: A rejection counts at its stage: the number of the first stage that a claim doesn't pass.
+_STAGE = "case when reason is null then 9 " + " ".join(f"when reason in ({listed(reasons)}) then {i}" for i, (_, reasons) in enumerate(evidence.STAGES)) + " end"
+
+
+@query(
+    f"""with k as (select {_CLAIM} from {CURRENT.format('claims')} c where {_KEY.format('c.chunk_id')} in (select chunk_id from search_results)), {_judged(CURRENT)},
+    s as (select *, {_STAGE} stage, case when s0 is null or e0 is null then null when s0 >= 0 and e0 >= s0 and e0 <= length(ct) and substring(ct, s0 + 1, e0 - s0) = v then 'valid' when st >= 0 then 'recovered' else 'invalid' end o from q),
+    c as (select unnest(['associated_with_retrieved_chunks', 'rejected_' || reason, case when stage > 0 then 'offsets_' || o end, {", ".join(f"case when stage > {i} then '{name}' end" for i, (name, _) in enumerate(evidence.STAGES))}]) counter from s)
+    select counter, count(*) as n from c where counter is not null group by 1"""
+)
+def generation_stages(spark: SparkSession, root: str) -> DataFrame:
+    """What became of the claims of all retrieved chunks, before relevance."""
+    claims = records.current(table(spark, root, "claims").select("id", "article_id", "chunk_id", "text", "verbatim", "char_start", "char_end", "loaded_at", "deleted_at"))
+    asked = table(spark, root, "search_results").select("chunk_id").distinct().withColumnRenamed("chunk_id", "_asked")
+    chunks = records.current(table(spark, root, "chunks").select("id", "article_id", "text", "char_start", "loaded_at", "deleted_at"))
+    articles = records.current(table(spark, root, "articles").select("id", "loaded_at", "deleted_at"))
+    near = claims.join(asked, canonical_id("chunk_id") == F.col("_asked"), "left_semi")
+    return evidence.stage_counts(evidence.cascade(near, chunks, articles))
+
+
+_TYPES = "[" + ", ".join(f"'{t}'" for t in evidence.TYPE_ORDER) + "]"
+
+
+@query(
+    f"""with recursive c as (select query_id, id, article_id a, claim_type t, trim(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g')) k, round((hits + 0.25 * extra) / n, 6) score, final_rank r, list_position({_TYPES}, claim_type) o
+      from {_RELEVANCE} where n > 0 and hits > 0 and hits + extra >= case when n <= 3 then 1 else 2 end),
+    l as (select query_id, list(struct_pack(id, a := coalesce(a, ''), t, k) order by o, score desc, r, id) items from c where o is not null and k <> '' group by 1),
+    g as (select query_id, items, 0 i, []::varchar[] ids, []::varchar[] keys, []::varchar[] articles, []::varchar[] types from l
+      union all select query_id, items, i + 1, case when fits then list_append(ids, x.id) else ids end, case when fits then list_append(keys, x.k) else keys end, case when fits then list_append(articles, x.a) else articles end, case when fits then list_append(types, x.t) else types end
+      from (select *, not list_contains(keys, x.k) and len(list_filter(articles, lambda y: y = x.a)) < {evidence.PER_ARTICLE} and len(list_filter(types, lambda y: y = x.t)) < {evidence.PER_TYPE} fits from (select *, items[i + 1] x from g where i < len(items))))
+    select query_id, unnest(ids) as id, generate_subscripts(ids, 1)::int as position from g where i = len(items)"""
+)
 def greedy_selection(spark: SparkSession, root: str) -> DataFrame:
     """The claims a review of each query would cite."""
     found = _relevant(spark, root).filter("r.relevant").select("query_id", "id", "article_id", "claim_type", F.col("r.score").alias("score"), F.col("final_rank").alias("rank"), F.col("v").alias("text"))

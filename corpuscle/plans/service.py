@@ -94,13 +94,8 @@ def bibliography(spark: SparkSession, root: str, ids: list[str]) -> DataFrame:
     return review.bibtex(own)
 
 
-def draft(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None) -> DataFrame:
-    """(position, claim_id, article_id, claim_type, sentence, passage, score): the sentences of a review with their evidence.
-
-    The query and its translation are retrieved apart and fused; claims of the found
-    chunks pass the cascade of checks and the relevance of either variant, and are
-    chosen under the caps per type and article.
-    """
+def _generation(spark: SparkSession, root: str, query: str, k: int, encode: Callable | None, translate: Callable[[str], str | None] | None) -> tuple[DataFrame, DataFrame]:
+    """(judged claims of the retrieved chunks, the chosen ones)."""
     if len(query.strip()) < 2:
         raise ValueError("the query is too short")
     _bounded("k", k, 5, 50)
@@ -110,16 +105,31 @@ def draft(spark: SparkSession, root: str, query: str, k: int = 20, encode: Calla
     found = [search(spark, root, v, k, mode, encode).select(F.lit(i).alias("query_id"), F.lit(1).alias("topic"), "chunk_id", F.col("rank").alias("final_rank")) for i, v in enumerate(variants)]
     ranked = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     merged = retrieval.merge_variants(ranked, "topic", k).select("chunk_id", "rank")
-    own = records.current(table(spark, root, "claims"))
     chunks, articles = records.current(table(spark, root, "chunks")), records.current(table(spark, root, "articles"))
-    # A bounded number of chunks is asked for, so their claims are few: the cascade sees no others.
-    near = own.withColumn("_chunk", canonical_id("chunk_id")).join(merged.select(F.col("chunk_id").alias("_chunk"), "rank"), "_chunk")
-    passed = evidence.cascade(near, chunks, articles).filter("reject_reason is null").select("id", "source_start")
-    titles = articles.select(F.col("id").alias("_article"), "title")
-    source = F.coalesce("verbatim", "text")
-    relevant = near.join(passed, "id").withColumn("_article", canonical_id("article_id")).join(titles, "_article").withColumn("r", evidence.best_relevance(*(evidence.relevance(F.lit(v), source, F.col("title")) for v in variants))).filter("r.relevant")
-    candidates = relevant.select(F.lit("1").alias("query_id"), "id", F.col("_article").alias("article_id"), "claim_type", F.col("r.score").alias("score"), "rank", source.alias("text"))
-    return evidence.select_evidence(candidates).join(candidates, ["query_id", "id"]).select("position", F.col("id").alias("claim_id"), "article_id", "claim_type", evidence.display("text").alias("sentence"), F.col("text").alias("passage"), "score")
+    seen = retrieval.enrich(merged, chunks).join(chunks.select(F.col("id").alias("chunk_id"), "article_id"), "chunk_id").select("chunk_id", "article_id", "chunk_text", F.col("rank").alias("retrieval_rank"))
+    judged = evidence.cascade(records.current(table(spark, root, "claims")), chunks, articles, seen, variants=variants)
+    sides = evidence.side_terms(query, english, translate)
+    score = F.array_max(F.transform("relevance", lambda r: r["score"]))
+    candidates = judged.filter("reject_reason is null").select(F.lit("1").alias("query_id"), "id", "article_id", "claim_type", score.alias("score"), F.col("retrieval_rank").alias("rank"), F.col("source").alias("text"), evidence.covers(sides, "source").alias("covers"))
+    return judged, evidence.select_evidence(candidates).join(candidates, ["query_id", "id"]).select("position", F.col("id").alias("claim_id"), "article_id", "claim_type", evidence.display("text").alias("sentence"), F.col("text").alias("passage"), "score")
+
+
+def draft(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None) -> DataFrame:
+    """(position, claim_id, article_id, claim_type, sentence, passage, score): the sentences of a review with their evidence.
+
+    The query and its translation are retrieved apart and fused; claims of the found
+    chunks pass the cascade of checks and the relevance of either variant, and are
+    chosen under the caps per type and article, for a comparison from both sides.
+    """
+    return _generation(spark, root, query, k, encode, translate)[1]
+
+
+def diagnostics(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None) -> DataFrame:
+    """(counter, n): what became of the claims at each stage of ``draft``."""
+    judged, chosen = _generation(spark, root, query, k, encode, translate)
+    by_type = evidence.rendered_by_type(chosen).select(F.explode(F.create_map(F.lit("rendered_method"), F.col("method"), F.lit("rendered_finding"), F.col("finding"))).alias("counter", "n"))
+    overlaps = evidence.overlap_counts(judged).select(F.concat(F.lit("variant_"), "variant", F.lit("_overlap_"), "overlap").alias("counter"), "n")
+    return evidence.stage_counts(judged).unionByName(overlaps).unionByName(by_type)
 
 
 def verify(spark: SparkSession, root: str, sentences: DataFrame, entail: Callable[[Column, Column], Column]) -> DataFrame:

@@ -98,7 +98,7 @@ def test_chunks_keep_to_the_rules():
     assert all(text[a:b] == text[a:b].strip() and chunking.LEAST <= b - a <= 300 for a, b in found)
     assert all(a == 0 or text[a - 1].isspace() for a, _ in found)
     assert all(c <= b and not text[b:c].strip() for (_, b), (c, _) in zip(found, found[1:]))
-    assert all(text[b - 1] in ".!?" or text[b] == "\n" or not any(m in text[b - chunking.REACH + 1 : b] for m in ".!?\n") for _, b in found[:-1])
+    assert all(text[b - 1] in ".!?" or text[b : b + 1] in ("", "\n") or not any(m in text[b - chunking.REACH + 1 : b] for m in ".!?\n") for _, b in found[:-1])
     assert chunking.windows("x" * 950, 300, 60)[0] == (0, 300) and chunking.windows(" \n ", 300, 60) == []
 
 
@@ -207,7 +207,43 @@ def test_greedy_selection_matches_the_plain_fold(spark):
         own = [dict(zip(("id", "article_id", "claim_type", "score", "rank"), x[1:6]), key=x[6].lower()) for x in rows if x[0] == q]
         want |= {(q, x["id"]) for x in evidence.greedy(own)}
     assert got == want
-    assert evidence.greedy([dict(id="a", article_id="x", claim_type="method", score=1.0, rank=1, key="k", terms=["bert"])], sides=({"bert"}, {"gpt"})) == []
+
+
+def test_comparisons_cite_both_sides(spark):
+    schema = "query_id string, id string, article_id string, claim_type string, score double, rank int, text string"
+    rows = [("q", f"c{i}", f"a{i}", "method", 1.0 - i / 100, i, f"BERT number {i}") for i in range(8)] + [("q", "z", "a9", "finding", 0.1, 90, "GPT is last"), ("p", "only", "a", "method", 1.0, 1, "BERT alone")]
+    df = spark.createDataFrame(rows, schema)
+    sides = evidence.side_terms("BERT versus GPT")
+    chosen = {q: [r["id"] for r in evidence.select_evidence(df.filter(F.col("query_id") == q).withColumn("covers", evidence.covers(sides, "text"))).orderBy("position").collect()] for q in "qp"}
+    assert chosen == {"q": ["c0", "z", "c1", "c2"], "p": []}
+    assert spark.range(1).select(evidence.side_terms("BERT vs GPT", None, {"BERT": "Bidirectional encoder"}.get).alias("s")).collect()[0]["s"] == [["bert", "bidirectional", "encoder"], ["gpt"]]
+    assert spark.range(1).select(evidence.side_terms("attention in parsers").alias("s")).collect()[0]["s"] is None
+
+
+def test_evidence_checks_in_their_order(spark):
+    body = "The parser is better than all others here. A second sentence follows it here."
+    sentence, second = body[:42], body[43:]
+    claim = "id string, article_id string, chunk_id string, text string, verbatim string, char_start int, char_end int"
+    rows = [
+        ("ok", "A", "c", None, sentence, 0, 42), ("recovered", "A", "c", sentence, "", 5, 47), (None, "A", "c", None, sentence, 0, 42), ("other", "B", "c", None, sentence, 0, 42), ("gone", "X", "c5", None, sentence, 0, 42),
+        ("nochunk", "A", "c9", None, sentence, 0, 42), ("stale", "A", "c2", None, sentence, 0, 42), ("empty", "A", "c", "", " ", 0, 1), ("part", "A", "c", None, "Not whole", 0, 9), ("changed", "A", "c", None, sentence.replace("better", "worse"), 0, 42),
+        ("nosection", "A", "c3", None, sentence, 0, 42), ("moved", "A", "c4", None, sentence, 0, 42), ("later", "A", "c6", None, sentence, 0, 42), ("inside", "A", "c7", None, second, 0, 34), ("away", "A", "c", None, second, 43, 77),
+    ]
+    chunks = spark.createDataFrame([("c", "A", body, 0, len(body), "s"), ("c2", "A", body + " ", 0, 78, None), ("c3", "A", body, 0, 77, "s9"), ("c4", "A", body, 3, 80, "s"), ("c5", "X", body, 0, 77, "s"), ("c6", "A", body, 9, 86, None), ("c7", "A", "x" + body[44:], 0, 35, None)], "id string, article_id string, text string, char_start int, char_end int, section_id string")
+    chunks = chunks.withColumn("text", F.when(F.col("id") == "c7", "x" + second).otherwise(F.col("text")))
+    found = chunks.select(F.col("id").alias("chunk_id"), "article_id", F.when(F.col("id") == "c2", "old").otherwise(F.col("text")).alias("chunk_text")).unionByName(spark.createDataFrame([("c9", "A", body)], "chunk_id string, article_id string, chunk_text string"))
+    lower = lambda df: df.withColumn("article_id", F.lower("article_id"))
+    judged = evidence.cascade(lower(spark.createDataFrame(rows, claim)), lower(chunks), spark.createDataFrame([("a", "On trees"), ("b", "x")], "id string, title string"), lower(found), lower(spark.createDataFrame([("s", "A", body)], "id string, article_id string, text string")), ["parser quality"])
+    assert {r["id"]: r["reject_reason"] for r in judged.collect()} == {
+        "ok": None, "recovered": None, None: "missing_claim_id", "other": "article_id_mismatch", "gone": "article_missing", "nochunk": "missing_chunk_metadata", "stale": "retrieved_chunk_inconsistent", "empty": "empty_source_text", "part": "incomplete",
+        "changed": "not_verbatim_in_source", "nosection": "source_context_unavailable", "moved": "source_section_mismatch", "later": "source_context_unavailable", "inside": "source_token_boundary", "away": "irrelevant",
+    }
+    assert {r["id"]: r["offsets"] for r in judged.collect() if r["id"] in ("ok", "recovered", "changed")} == {"ok": "valid", "recovered": "recovered", "changed": "invalid"}
+    counts = {r["counter"]: r["n"] for r in evidence.stage_counts(judged).collect()}
+    assert (counts["associated_with_retrieved_chunks"], counts["complete"], counts["verbatim_in_chunk"], counts["source_span_valid"], counts["relevance_pass"], counts["rejected_irrelevant"]) == (15, 8, 7, 3, 2, 1)
+    assert {(r["overlap"], r["n"], r["passed"]) for r in evidence.overlap_counts(judged).collect()} == {("zero", 1, 0), ("one", 2, 2)}
+    shown = spark.createDataFrame([("method",), ("method",), ("limitation",)], "claim_type string")
+    assert tuple(evidence.rendered_by_type(shown).collect()[0]) == (2, 0)
 
 
 def test_bm25_against_the_formula(spark):

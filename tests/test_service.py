@@ -50,6 +50,8 @@ def test_draft_and_verify(spark, root):
     broken = drafted.withColumn("claim_id", F.lit("none"))
     assert [r["status"] for r in service.verify(spark, root, broken, sure).collect()] == ["unverifiable"]
     assert service.draft(spark, root, "unseen topic wholly elsewhere").count() == 0
+    counts = {r["counter"]: r["n"] for r in service.diagnostics(spark, root, "parsing adapters of large models").collect()}
+    assert counts["relevance_pass"] >= counts["rendered_method"] + counts["rendered_finding"] >= 0 and counts["associated_with_retrieved_chunks"] >= counts["complete"]
 
 
 def test_look_ups(spark, root):
