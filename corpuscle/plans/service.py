@@ -42,8 +42,17 @@ def _bounded(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
-def search(spark: SparkSession, root: str, query: str, k: int = 10, mode: str = "rrf", encode: Callable[[str], list[float]] | None = None) -> DataFrame:
-    """(chunk_id, rank, score, bm25_rank, dense_rank, chunk_section, chunk_text): ``bm25``, ``dense`` or ``rrf``. A blank query finds nothing."""
+def build_index(spark: SparkSession, root: str, path: str) -> None:
+    """Builds the lexical index of the current chunks and saves it under ``path`` for ``search``."""
+    chunks = records.current(table(spark, root, "chunks").select("id", "text", "loaded_at", "deleted_at"))
+    retrieval.save_index(retrieval.bm25_index(chunks, "id"), path)
+
+
+def search(spark: SparkSession, root: str, query: str, k: int = 10, mode: str = "rrf", encode: Callable[[str], list[float]] | None = None, index: str | None = None) -> DataFrame:
+    """(chunk_id, rank, score, bm25_rank, dense_rank, chunk_section, chunk_text): ``bm25``, ``dense`` or ``rrf``. A blank query finds nothing.
+
+    ``index``: where ``build_index`` saved the lexical index; without it one is built for this search.
+    """
     _bounded("k", k, 1, 50)
     if mode not in ("bm25", "dense", "rrf"):
         raise ValueError(f"no such mode: {mode}")
@@ -54,7 +63,8 @@ def search(spark: SparkSession, root: str, query: str, k: int = 10, mode: str =
     pool = POOL if mode == "rrf" else k
     lexical = dense = None
     if mode != "dense":
-        lexical = retrieval.bm25_search(retrieval.bm25_index(chunks, "id"), asked, pool)
+        stored = retrieval.load_index(spark, index) if index else retrieval.bm25_index(chunks, "id")
+        lexical = retrieval.bm25_search(stored, asked, pool)
     if mode != "bm25":
         vectors = table(spark, root, "chunk_vectors").filter("embedding is not null").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("doc"), F.col("embedding").alias("v"))
         vector = spark.createDataFrame([(1, encode(query))] if query.strip() else [], "query_id bigint, q array<double>")
@@ -94,7 +104,7 @@ def bibliography(spark: SparkSession, root: str, ids: list[str]) -> DataFrame:
     return review.bibtex(own)
 
 
-def _generation(spark: SparkSession, root: str, query: str, k: int, encode: Callable | None, translate: Callable[[str], str | None] | None) -> tuple[DataFrame, DataFrame]:
+def _generation(spark: SparkSession, root: str, query: str, k: int, encode: Callable | None, translate: Callable[[str], str | None] | None, index: str | None) -> tuple[DataFrame, DataFrame]:
     """(judged claims of the retrieved chunks, the chosen ones)."""
     if len(query.strip()) < 2:
         raise ValueError("the query is too short")
@@ -102,7 +112,7 @@ def _generation(spark: SparkSession, root: str, query: str, k: int, encode: Call
     english = translate(query) if translate else None
     variants = list(dict.fromkeys(v for v in (query, english) if v))
     mode = "rrf" if encode else "bm25"
-    found = [search(spark, root, v, k, mode, encode).select(F.lit(i).alias("query_id"), F.lit(1).alias("topic"), "chunk_id", F.col("rank").alias("final_rank")) for i, v in enumerate(variants)]
+    found = [search(spark, root, v, k, mode, encode, index).select(F.lit(i).alias("query_id"), F.lit(1).alias("topic"), "chunk_id", F.col("rank").alias("final_rank")) for i, v in enumerate(variants)]
     ranked = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     merged = retrieval.merge_variants(ranked, "topic", k).select("chunk_id", "rank")
     chunks, articles = records.current(table(spark, root, "chunks")), records.current(table(spark, root, "articles"))
@@ -114,19 +124,19 @@ def _generation(spark: SparkSession, root: str, query: str, k: int, encode: Call
     return judged, evidence.select_evidence(candidates).join(candidates, ["query_id", "id"]).select("position", F.col("id").alias("claim_id"), "article_id", "claim_type", evidence.display("text").alias("sentence"), F.col("text").alias("passage"), "score")
 
 
-def draft(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None) -> DataFrame:
+def draft(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None, index: str | None = None) -> DataFrame:
     """(position, claim_id, article_id, claim_type, sentence, passage, score): the sentences of a review with their evidence.
 
     The query and its translation are retrieved apart and fused; claims of the found
     chunks pass the cascade of checks and the relevance of either variant, and are
     chosen under the caps per type and article, for a comparison from both sides.
     """
-    return _generation(spark, root, query, k, encode, translate)[1]
+    return _generation(spark, root, query, k, encode, translate, index)[1]
 
 
-def diagnostics(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None) -> DataFrame:
+def diagnostics(spark: SparkSession, root: str, query: str, k: int = 20, encode: Callable | None = None, translate: Callable[[str], str | None] | None = None, index: str | None = None) -> DataFrame:
     """(counter, n): what became of the claims at each stage of ``draft``."""
-    judged, chosen = _generation(spark, root, query, k, encode, translate)
+    judged, chosen = _generation(spark, root, query, k, encode, translate, index)
     by_type = evidence.rendered_by_type(chosen).select(F.explode(F.create_map(F.lit("rendered_method"), F.col("method"), F.lit("rendered_finding"), F.col("finding"))).alias("counter", "n"))
     overlaps = evidence.overlap_counts(judged).select(F.concat(F.lit("variant_"), "variant", F.lit("_overlap_"), "overlap").alias("counter"), "n")
     return evidence.stage_counts(judged).unionByName(overlaps).unionByName(by_type)

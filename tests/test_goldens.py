@@ -272,4 +272,21 @@ def test_dense_search_in_blocks(spark):
     whole = {tuple(r) for r in retrieval.dense_search(vectors, queries, 2).select("query_id", "doc", "rank").collect()}
     assert whole == {(1, 0, 1), (1, 1, 2), (2, 1, 1), (2, 0, 2)}
     assert retrieval.dense_search(vectors, queries.limit(0), 2).count() == 0 and retrieval.dense_search(vectors.limit(0), queries, 2).count() == 0
-    assert whole == {tuple(r) for r in retrieval.dense_search(vectors, queries, 2, block=1).select("query_id", "doc", "rank").collect()}
+    assert whole == {tuple(r) for r in retrieval.dense_search(vectors, queries, 2, most=1).select("query_id", "doc", "rank").collect()}
+
+
+def test_searches_in_parts_and_by_joins_give_the_same(spark):
+    import random
+
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for i in range(120)], "doc bigint, text string")
+    asked = spark.createDataFrame([(q, " ".join(r.choice(words) for _ in range(4))) for q in range(9)] + [(99, ""), (98, None)], "query_id bigint, query string")
+    index = retrieval.bm25_index(docs.repartition(3), "doc")
+    rows = lambda df: {(x["query_id"], x["doc"], round(x["score"], 5), x["rank"]) for x in df.collect()}
+    assert rows(retrieval.bm25_search(index, asked, 5)) == rows(retrieval.bm25_search(index, asked, 5, most=1)) and index.postings.count() > 0
+    assert retrieval.bm25_search(index, asked.filter("query_id > 90"), 5).count() == 0
+    vectors = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)] + [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [1.0])], "doc bigint, v array<double>")
+    queries = vectors.filter("doc < 9").select(F.col("doc").alias("query_id"), F.col("v").alias("q"))
+    assert rows(retrieval.dense_search(vectors.repartition(3), queries, 5)) == rows(retrieval.dense_search(vectors, queries, 5, most=8))
+    assert retrieval.dense_search(vectors, queries.limit(0), 5).count() == 0

@@ -41,6 +41,15 @@ def test_search_modes(spark, root):
             service.search(spark, root, "x", **wrong)
 
 
+def test_a_saved_index_gives_the_same(spark, root, tmp_path):
+    service.build_index(spark, root, str(tmp_path / "i"))
+    both = [[tuple(r) for r in service.search(spark, root, "parsing adapters", mode="bm25", index=i).orderBy("rank").collect()] for i in (None, str(tmp_path / "i"))]
+    assert both[0] == both[1] and both[0]
+    spark.createDataFrame([(9.0, 9.0, 9.0)], "k1 double, b double, epsilon double").write.mode("overwrite").parquet(str(tmp_path / "i" / "constants"))
+    with pytest.raises(ValueError):
+        service.search(spark, root, "parsing", mode="bm25", index=str(tmp_path / "i"))
+
+
 def test_draft_and_verify(spark, root):
     drafted = service.draft(spark, root, "parsing adapters of large models")
     rows = drafted.collect()
