@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuscle.functions import lexicons as L
-from corpuscle.functions.columns import col_of
+from corpuscle.functions.columns import col_of, let
 
 # The name space of addresses in UUID version 5.
 URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -55,6 +55,11 @@ def acl_id(c: Column | str) -> Column:
     return F.when(is_domain(host(c), "aclanthology.org") & ~segment.isin("papers", "anthology", ""), segment)
 
 
+def pdf_source(pdf_url: Column, arxiv: Column) -> Column:
+    """The recorded address of the PDF, else the one of the preprint."""
+    return F.coalesce(F.nullif(F.trim(pdf_url), F.lit("")), F.concat(F.lit("https://arxiv.org/pdf/"), arxiv))
+
+
 def last_segment(c: Column | str) -> Column:
     """What follows the last slash."""
     return F.substring_index(F.rtrim(col_of(c)), "/", -1)
@@ -88,17 +93,21 @@ def venue_of_text(c: Column | str, acronyms: bool = True) -> Column:
 
 def venue_of_url(c: Column | str) -> Column:
     """The venue an address tells; null for none."""
+
+    def venue(x: Column) -> Column:
+        h = x["host"]
+        anthology = F.regexp_extract(x["path"], r"^/(?:papers/)?\d{4}\.(acl|emnlp|naacl|coling)\b", 1)
+        return (
+            F.when(is_domain(h, "aclanthology.org") & (anthology != ""), anthology)
+            .when(is_domain(h, "emnlp.org"), "emnlp")
+            .when(is_domain(h, "naacl.org"), "naacl")
+            .when(is_domain(h, "iclr.cc"), "iclr")
+            .when(is_domain(h, "neurips.cc") | is_domain(h, "nips.cc"), "neurips")
+            .when(is_domain(h, "icml.cc"), "icml")
+        )
+
     c = col_of(c)
-    h, path = host(c), F.lower(F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit("")))
-    anthology = F.regexp_extract(path, r"^/(?:papers/)?\d{4}\.(acl|emnlp|naacl|coling)\b", 1)
-    return (
-        F.when(is_domain(h, "aclanthology.org") & (anthology != ""), anthology)
-        .when(is_domain(h, "emnlp.org"), "emnlp")
-        .when(is_domain(h, "naacl.org"), "naacl")
-        .when(is_domain(h, "iclr.cc"), "iclr")
-        .when(is_domain(h, "neurips.cc") | is_domain(h, "nips.cc"), "neurips")
-        .when(is_domain(h, "icml.cc"), "icml")
-    )
+    return let(F.struct(host(c).alias("host"), F.lower(F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit(""))).alias("path")), venue)
 
 
 def licence(raw: Column | str) -> Column:
@@ -111,9 +120,11 @@ def licence(raw: Column | str) -> Column:
 
 def acl_policy_licence(url: Column | str, year: Column) -> Column:
     """The licence the anthology's policy gives a paper of its address and year: 2016 or later CC BY, earlier CC BY-NC-SA."""
-    segment = acl_id(url)
-    modern = F.regexp_extract(segment, r"^((?:19|20)\d\d)\.", 1)
-    old = F.regexp_extract(segment, r"^[A-Za-z](\d\d)-\d{4}$", 1)
-    told = F.when(modern != "", modern.cast("int")).when(old != "", F.when(old.cast("int") < 90, old.cast("int") + 2000).otherwise(old.cast("int") + 1900))
-    agreed = F.when(year.isNull() | (told == year), told)
-    return F.when(agreed < 2016, "CC-BY-NC-SA-3.0").when(agreed >= 2016, "CC-BY-4.0")
+
+    def told(segment: Column) -> Column:
+        modern = F.regexp_extract(segment, r"(?i)^((?:19|20)\d\d)\.(?:acl|emnlp|naacl)(?:-[a-z0-9]+)*\.\d+$", 1).try_cast("int")
+        old = F.regexp_extract(segment, r"(?i)^p(\d\d)-\d+$", 1).try_cast("int")
+        return F.coalesce(modern, F.when(old < 90, old + 2000).otherwise(old + 1900))
+
+    agreed = lambda y: F.when(year.isNull() | (y == year), F.when(y < 2016, "CC-BY-NC-SA-3.0").when(y >= 2016, "CC-BY-4.0"))
+    return let(let(acl_id(url), told), agreed)

@@ -41,7 +41,7 @@ def test_licence(spark, raw, want):
     assert tuple(one(spark, I.licence("l"), l=raw)) == want
 
 
-@pytest.mark.parametrize("url,year,want", [("https://aclanthology.org/2014.x-1/", 2014, "CC-BY-NC-SA-3.0"), ("https://aclanthology.org/P19-1001/", 2019, "CC-BY-4.0"), ("https://aclanthology.org/P19-1001/", 2020, None), ("https://aclanthology.org/P98-1001/", 1998, "CC-BY-NC-SA-3.0")])
+@pytest.mark.parametrize("url,year,want", [("https://aclanthology.org/2014.acl-long.1/", 2014, "CC-BY-NC-SA-3.0"), ("https://aclanthology.org/P19-1001/", 2019, "CC-BY-4.0"), ("https://aclanthology.org/P19-1001/", 2020, None), ("https://aclanthology.org/P98-1001/", 1998, "CC-BY-NC-SA-3.0"), ("https://aclanthology.org/2014.x-1/", 2014, None), ("https://aclanthology.org/W19-1001/", 2019, None)])
 def test_acl_policy(spark, url, year, want):
     assert one(spark, I.acl_policy_licence("u", F.col("y")), u=url, y=year) == want
 

@@ -82,7 +82,7 @@ def test_works_become_articles(spark, tmp_path):
     rows = corpus.works_to_articles(works.landed_works(spark, str(tmp_path / "p.json"))).collect()
     assert len(rows) == 1
     a = rows[0]
-    assert (a["title"], a["authors"], a["venue"], a["acl_id"], a["doi"], a["provider_id"], a["referenced_works"], a["licence_family"]) == ("A title", ["Ada"], "acl", "2023.acl-long.1", "10.1/x", "W1", ["W2"], "cc-by")
+    assert (a["title"], a["authors"], a["venue"], a["acl_id"], a["doi"], a["provider_id"], a["referenced_works"], a["license"]["family"]) == ("A title", ["Ada"], "acl", "2023.acl-long.1", "10.1/x", "W1", ["W2"], "cc-by")
     assert a["abstract"] == " ".join(words)
     ids = spark.createDataFrame([("2304.01234",), ("1",)], "arxiv_id string")
     assert works.lookup_works(works.landed_works(spark, str(tmp_path / "p.json")), ids).filter("id is null").count() == 2
