@@ -33,6 +33,14 @@ METRIC_PATTERN = r"(?:(bleu|rouge[-\w]*|bertscore|meteor|chrf|comet|bleurt|f[-\s
 # Last words of an incomplete sentence.
 TRAILING_WORDS = "a an and as at because by for from in into of on or that the to using with which".split()
 
+# Words that a rewritten sentence keeps or loses only with its sense, and words it may add or leave out.
+POLARITY = "no not never without cannot lack lacks fail fails".split()
+HEDGES = "may might could suggest suggests possibly likely potentially".split()
+GRAMMATICAL = (
+    "a about after also an are be been being but can could did does during each from has have if into its more most not our over per than their there "
+    "these they this those was were will would we such that then through under use used using very while who whose you your"
+).split()
+
 # Claim vocabulary.
 CONTRIBUTION_VERBS = "propose introduce present describe develop design build implement create construct extend augment combine integrate".split()
 COMPARISON_VERBS = "outperform surpass exceed beat compare versus against baseline".split()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.columns import canonical_id
-from corpuscle.functions.identifiers import last_segment
+from corpuscle.functions.identifiers import last_segment, uuid5
 
 
 def references(articles: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -22,6 +22,19 @@ def references(articles: DataFrame, known: DataFrame | None = None) -> DataFrame
     return rows.join(ids, "provider_id", "left").select("source_article_id", "position", "target_raw_ref", "target_article_id")
 
 
+# The context and the function of a citation known from a reference list only.
+CONTEXT, FUNCTION = "Metadata-only reference.", "undefined"
+
+
+def citation_records(references: DataFrame) -> DataFrame:
+    """The references as citation records, with an id that follows from the citing article and the place in its list."""
+    name = F.concat(F.lit("citation:"), F.col("position"))
+    return references.select(
+        uuid5(F.col("source_article_id"), name).alias("id"), "source_article_id", "target_article_id", "target_raw_ref", F.lit(CONTEXT).alias("context_sentence"), F.lit(FUNCTION).alias("function"),
+        F.lit(None).cast("double").alias("function_confidence"), F.lit(None).cast("string").alias("chunk_id"),
+    )
+
+
 def edges(citations: DataFrame) -> DataFrame:
     """(source_id, target_id, count) of citations with a target; self-loops stay."""
     target = canonical_id("target_article_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.functions import identifiers as I
 from corpuscle.functions import lexicons as L
 from corpuscle.functions.columns import col_of
 from corpuscle.functions.text import any_part, any_word, words_in
@@ -93,22 +94,40 @@ def claim_type(c: Column | str) -> Column:
 
 
 def extract_claims(chunks: DataFrame) -> DataFrame:
-    """Claims of (id, article_id, char_start, text) chunks: complete sentences with their place, type, hedging, metric, data set and model.
+    """Claims of (id, article_id, char_start, text) chunks, with an id that follows from the chunk's and the place: complete sentences with their place, type, hedging, metric, data set and model.
 
     A sentence ends at ``.``, ``!`` or ``?`` with its closing marks before white space.
     """
     parts = F.split(F.col("text"), r"(?<=[.!?][\"')\]]{0,3})(?=\s)")
-    rows = chunks.filter("text is not null").select(F.col("id").alias("chunk_id"), "article_id", F.col("char_start").alias("chunk_start"), F.posexplode(parts).alias("n", "raw"))
-    # The pieces follow one another without loss, so a running sum of lengths places them.
-    before = Window.partitionBy("chunk_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.char_length("raw")).over(before), F.lit(0)).cast("int")).withColumn("s", F.struct("start", "raw"))
+    # The pieces follow one another without loss: the sum of lengths so far places them, within the row.
+    step = lambda done, raw: F.struct((done["end"] + F.char_length(raw)).alias("end"), F.array_append(done["found"], F.struct(done["end"].alias("start"), raw.alias("raw"))).alias("found"))
+    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,raw:string>>").alias("found"))
+    rows = chunks.filter("text is not null").select(F.col("id").alias("chunk_id"), "article_id", F.col("char_start").alias("chunk_start"), F.explode(F.aggregate(parts, begin, step)["found"]).alias("s"))
     lead = F.char_length("s.raw") - F.char_length(F.regexp_replace(F.col("s.raw"), r"(?U)^\s+", ""))
     sentence = F.regexp_replace(F.col("s.raw"), r"(?U)^\s+|\s+\z", "")
     found = rows.select("chunk_id", "article_id", "chunk_start", F.col("s.start").alias("sent_start"), (F.col("s.start") + lead).alias("char_start"), sentence.alias("verbatim"))
     kept = found.filter(passes_extraction("verbatim", F.col("sent_start"), F.col("chunk_start")))
     m = metric("verbatim")
     return kept.select(
-        "article_id", "chunk_id", "char_start", (F.col("char_start") + F.char_length("verbatim")).alias("char_end"), "verbatim",
+        I.uuid5(F.col("chunk_id"), F.concat(F.lit("claim:"), F.col("char_start"))).alias("id"), "article_id", "chunk_id", "char_start", (F.col("char_start") + F.char_length("verbatim")).alias("char_end"), "verbatim",
         claim_type("verbatim").alias("claim_type"), hedging("verbatim").alias("hedging_level"), m["name"].alias("metric_name"), m["value"].alias("metric_value"),
         first_known("verbatim", L.KNOWN_DATASETS).alias("dataset_name"), first_known("verbatim", L.KNOWN_MODELS).alias("model_name"),
     )
+
+
+def safe_rewrite(source: Column | str, candidate: Column | str) -> Column:
+    """The rewritten sentence if it is whole and has the source's numbers, negations, hedges and content words, else the source."""
+    source, candidate = col_of(source), col_of(candidate)
+    found = lambda c, pattern: F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
+    numbers, words = (lambda c: found(c, r"[+-]?\d+(?:\.\d+)?%?")), (lambda c: F.array_distinct(found(c, "[a-z0-9]+")))
+    same = lambda listed: F.size(F.array_except(F.array_intersect(words(source), words_in(listed)), words(candidate))) + F.size(F.array_except(F.array_intersect(words(candidate), words_in(listed)), words(source))) == 0
+    free = words_in([*L.QUERY_STOP_WORDS, *L.GRAMMATICAL])
+    changed = F.array_union(F.array_except(words(candidate), words(source)), F.array_except(words(source), words(candidate)))
+    kept = is_complete(candidate) & (numbers(source) == numbers(candidate)) & same(L.POLARITY) & same(L.HEDGES) & (F.size(F.array_except(changed, free)) == 0)
+    return F.when(F.coalesce(kept, F.lit(False)), F.trim(candidate)).otherwise(source)
+
+
+def top_metric_names(claims: DataFrame, k: int = 5) -> DataFrame:
+    """(metric_name, n): the ``k`` most frequent metric names in small letters, ties by name."""
+    named = claims.select(F.lower(F.trim("metric_name")).alias("metric_name")).filter("metric_name != ''")
+    return named.groupBy("metric_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "metric_name").limit(k)

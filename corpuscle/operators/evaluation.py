@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from corpuscle.sources import jsonl
 
 
 def per_query(retrieved: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -31,3 +34,19 @@ def check_judgments(judgments: DataFrame) -> DataFrame:
     twice = judgments.filter(F.size("relevant_chunk_ids") != F.size(F.array_distinct("relevant_chunk_ids"))).select("query_id", F.lit("repeated_id").alias("problem"))
     none = judgments.filter(F.coalesce(F.size("relevant_chunk_ids"), F.lit(0)) <= 0).select("query_id", F.lit("empty").alias("problem"))
     return repeated.unionByName(twice).unionByName(none)
+
+
+class UnusableJudgments(ValueError):
+    """Judgments that may not be used for an evaluation."""
+
+
+def read_judgments(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, query, relevant_chunk_ids) of a JSON Lines file, read strictly: it exists, every line is sound, no problem is found."""
+    schema = StructType.fromDDL("query_id string, query string, relevant_chunk_ids array<string>")
+    if not jsonl.exists(spark, path):
+        raise FileNotFoundError(path)
+    judgments = jsonl.scan_strict(spark, path, schema)
+    problems = check_judgments(judgments).limit(5).collect()
+    if problems or not judgments.limit(1).collect():
+        raise UnusableJudgments("; ".join(f"{p['query_id']}: {p['problem']}" for p in problems) or "no judgments")
+    return judgments

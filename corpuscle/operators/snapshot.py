@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuscle import __version__
 from corpuscle.sources import files
@@ -42,6 +43,7 @@ def artifact(path: str) -> str:
 
 def build(spark: SparkSession, root: str, statistics: DataFrame | None = None) -> dict:
     """The manifest of all files below ``root``. Checksums are taken where the files are read; one row per file comes back."""
+    files.refuse_links(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     prefix = str(base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath()).rstrip("/") + "/"
     rows = files.tree(spark, root).collect()
@@ -53,6 +55,22 @@ def build(spark: SparkSession, root: str, statistics: DataFrame | None = None) -
     return payload | {"snapshot_id": identity(payload), "created_at": datetime.now(timezone.utc).isoformat()}
 
 
+def parsing_mode(spark: SparkSession, root: str) -> tuple[str, list[str]]:
+    """(mode, warnings) told by the parse log: ``abstract_only``, ``full_text``, ``mixed`` or ``unknown``."""
+    place = Path(root) / "parsed" / "parse_log.txt"
+    if not place.is_file():
+        return "unknown", ["Parsing mode is unknown: parsed/parse_log.txt is missing."]
+    lines = spark.read.text(str(place))
+    told = lambda pattern: F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)))
+    # The effective mode counts; a log without it is read by the older heading.
+    found = lines.select(F.lit(0).alias("rank"), told(r"effective_mode\s*=\s*(abstract|full_text|pdf)").alias("m")).unionByName(lines.select(F.lit(1).alias("rank"), told(r"(?i)Mode\s*:\s*(abstract|pdf)").alias("m")))
+    modes = {(r["rank"], r["mode"]) for r in found.select("rank", F.when(F.lower("m") == "abstract", "abstract_only").otherwise("full_text").alias("mode")).distinct().collect()}
+    own = {m for rank, m in modes if rank == min((r for r, _ in modes), default=0)}
+    if len(own) > 1:
+        return "mixed", ["Parsing log records more than one parsing mode."]
+    return (own.pop(), []) if own else ("unknown", ["Parsing mode is unknown from the available parsing log."])
+
+
 def verify(spark: SparkSession, root: str, manifest: dict) -> list[str]:
     """What differs between a manifest and the files: wrong id, missing, added and changed files."""
     problems = [] if identity(manifest) == manifest.get("snapshot_id") else ["the id doesn't fit the manifest"]

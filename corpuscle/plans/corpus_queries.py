@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import identifiers as I
 from corpuscle.functions import lexicons as L
 from corpuscle.functions import text as T
-from corpuscle.operators import chunking, citations, corpus, records
+from corpuscle.operators import chunking, citations, claims, corpus, licences, records
 from corpuscle.sources.tables import table
 
 QUERIES: dict = {}
@@ -52,7 +52,7 @@ def year_venue_counts(spark: SparkSession, root: str) -> DataFrame:
     count(*) filter (abstract is null or trim(abstract) = '') as missing_abstracts, count(*) filter (source.url is null or trim(source.url) = '') as missing_urls,
     count(*) filter ((source.pdf_url is null or trim(source.pdf_url) = '') and (source.arxiv_id is null or trim(source.arxiv_id) = '')) as without_pdf_source,
     count(*) filter (e) as licence_identified, count(*) filter (e and source.license.evidence = 'openalex') as licence_explicit, count(*) filter (e and source.license.evidence = 'acl_policy') as licence_inferred,
-    count(*) filter (not e) as licence_unknown, count(*) filter (source.license.policy_conflict is not null) as policy_conflicts
+    count(*) filter (source.license is null) as missing_licences, count(*) filter (not coalesce(e, false)) as licence_unknown, count(*) filter (source.license.policy_conflict is not null) as policy_conflicts
     from (select *, source.license.family <> 'unknown' and source.license.evidence in ('openalex', 'acl_policy') and source.license.policy_conflict is null as e,
       nullif(lower(trim(regexp_replace(regexp_replace(trim(source.doi), '(?i)^doi:\\s*', ''), '(?i)^https?://(?:dx\\.)?doi\\.org/', ''))), '') as d from {LATEST.format('articles')})"""
 )
@@ -60,6 +60,41 @@ def corpus_statistics(spark: SparkSession, root: str) -> DataFrame:
     return corpus.statistics(records.latest(table(spark, root, "articles")))
 
 
+@query(f"select coalesce(source.license.family, 'unknown') as family, count(*) as n from {LATEST.format('articles')} group by 1")
+def licence_families(spark: SparkSession, root: str) -> DataFrame:
+    return corpus.licence_families(records.latest(table(spark, root, "articles").select("id", "source", "loaded_at")))
+
+
+@query(f"select count(*) filter (id in (select article_id from provenance_records)) as with_provenance, count(*) filter (id not in (select article_id from provenance_records where article_id is not null)) as without_provenance from {LATEST.format('articles')}")
+def provenance_split(spark: SparkSession, root: str) -> DataFrame:
+    return corpus.provenance_split(records.latest(table(spark, root, "articles").select("id", "loaded_at")), table(spark, root, "provenance_records").select("article_id"))
+
+
+@query(f"select id, cited_by_count from {CURRENT.format('articles')} order by cited_by_count desc nulls last, id limit 20")
+def most_cited(spark: SparkSession, root: str) -> DataFrame:
+    """The twenty most cited articles."""
+    return corpus.most_cited(records.current(table(spark, root, "articles").select("id", "cited_by_count", "loaded_at", "deleted_at")), 20).select("id", "cited_by_count")
+
+
+@query(f"select lower(trim(metric_name)) as metric_name, count(*) as n from {CURRENT.format('claims')} where trim(metric_name) <> '' group by 1 order by n desc, 1 limit 5")
+def top_metric_names(spark: SparkSession, root: str) -> DataFrame:
+    return claims.top_metric_names(records.current(table(spark, root, "claims").select("id", "metric_name", "loaded_at", "deleted_at")))
+
+
+_PERMISSIONS = ", ".join(f"('{f}', '{r[0]}', '{c[0]}', '{a[0]}')" for f, (r, c, a) in licences.PROFILES.items())
+
+
+@query(
+    f"""select coalesce(r, 'unknown') as redistribution, coalesce(c, 'unknown') as commercial_use, coalesce(a, 'unknown') as adaptations, count(*) as n
+    from {LATEST.format('articles')} left join (values {_PERMISSIONS}) t(f, r, c, a) on f = source.license.family group by all"""
+)
+def permission_profile(spark: SparkSession, root: str) -> DataFrame:
+    """What the licences of the articles permit."""
+    df = records.latest(table(spark, root, "articles").select("id", "source.license.family", "loaded_at"))
+    names = ("redistribution", "commercial_use", "adaptations")
+    return licences.with_permissions(df).select(*(F.col(f"{c}.outcome").alias(c) for c in names)).groupBy(*names).agg(F.count("*").alias("n"))
+
+
 _LICENCES = ", ".join(f"('{k}', '{v[0]}', {repr(v[1]) if v[1] else 'null'})" for k, v in L.LICENCES.items())
 
 

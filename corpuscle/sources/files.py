@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import stat
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,14 @@ def cached_documents(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), ((F.col("length") > SMALLEST) & (F.col("length") <= LARGEST)).alias("usable"))
 
 
-def snapshot_id(files: DataFrame) -> DataFrame:
-    """One row: the checksum of the sorted (path, size, sha256) rows of a manifest, which is driver-sized by nature."""
-    rows = F.sort_array(F.collect_list(F.concat_ws(" ", "path", F.col("size").cast("string"), "sha256")))
-    return files.agg(F.sha2(F.array_join(rows, "\n"), 256).alias("snapshot_id"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
+class UnsafeTree(ValueError):
+    """A tree with links or special files."""
+
+
+def refuse_links(root: str) -> None:
+    """Raises for a local tree that holds a link or a file that is neither plain nor a folder."""
+    for folder, names, files in os.walk(root):
+        for name in (*names, *files):
+            kind = os.lstat(os.path.join(folder, name)).st_mode
+            if not (stat.S_ISREG(kind) or stat.S_ISDIR(kind)):
+                raise UnsafeTree(f"no plain file: {os.path.join(folder, name)}")

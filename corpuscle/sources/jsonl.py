@@ -17,10 +17,14 @@ def _parsed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema.add(CORRUPT, "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def scan_lenient(spark: SparkSession, path: str, schema: StructType, valid: Column | None = None) -> DataFrame:
     """Rows that parse and are ``valid``; blank and broken lines are skipped, a missing path is empty."""
-    exists = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     df = _parsed(spark, path, StructType(list(schema.fields))).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return df.filter(valid) if valid is not None else df
