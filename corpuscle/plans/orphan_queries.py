@@ -9,18 +9,18 @@ from corpuscle.operators import orphans as ops
 from corpuscle.sources.tables import table
 
 TABLES = ("articles", "chunks", "claims", "evidence", "citations")
-#: The increments of the batch queries part here: half of what the tables hold at first, the rest by a second increment.
-CUTS = ("2024-09-01",)
+#: The batch queries take the tables in so many increments of about equal size.
+INCREMENTS = 2
 
 
-def _state(spark: SparkSession, root: str) -> ops.OrphanState:
+def _state(spark: SparkSession, root: str) -> ops.OrphanStore:
     tables = {}
     for name in TABLES:
         df = table(spark, root, name)
         fields = [r.field for r in ops.REFERENCES if r.table == name]
         ids = ["evidence_id" if name == "evidence" else "id"]
         tables[name] = df.select(*dict.fromkeys([*ids, *fields, "loaded_at", *(["deleted_at"] if "deleted_at" in df.columns else [])]))
-    return ops.orphans(tables, CUTS)
+    return ops.orphans(tables, tuple(ops.quantile_cuts(tables, INCREMENTS)))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 ``tracker.process`` is a ``foreachBatch`` function over a stream of deliveries of
 all tables: (table_name, record_id, loaded_at, deleted_at, refs), refs being a map
-from field to referred id. Each micro-batch is one increment of the keyed state;
-a batch delivered again after a failure changes nothing, as all merges are
-idempotent.
+from field to referred id. Each micro-batch is one increment of the keyed state, which
+lies in files: it touches only the buckets of its keys, and a restarted stream goes on
+with what was committed. A batch delivered again after a failure changes nothing, as
+all merges are idempotent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions.columns import canonical_id
@@ -17,9 +18,9 @@ from corpuscle.operators import orphans as ops
 
 
 class OrphanTracker:
-    def __init__(self, references=ops.REFERENCES):
+    def __init__(self, spark: SparkSession, path: str, references=ops.REFERENCES, buckets: int = ops.BUCKETS):
         self.references = references
-        self.state = ops.OrphanState()
+        self.state = ops.OrphanStore(spark, path, buckets)
 
     def process(self, batch: DataFrame, epoch: int = 0) -> None:
         parents = {r.parent for r in self.references}
@@ -31,4 +32,4 @@ class OrphanTracker:
             .select("table_name", F.col("k.f").alias("field_name"), "record_id", F.col("k.p").alias("parent_table"), canonical_id(F.element_at("refs", F.col("k.f"))).alias("key"), F.col("loaded_at").alias("first_at"))
             .filter(F.col("record_id").isNotNull() & F.col("key").isNotNull())
         )
-        self.state = ops.advance(self.state, ops._merge_parents(arrived.filter(F.col("key").isNotNull())), ops._merge_references(refs))
+        self.state.advance(ops._merge_parents(arrived.filter(F.col("key").isNotNull())), ops._merge_references(refs))

@@ -94,14 +94,39 @@ def test_stream_of_deliveries(spark, tmp_path):
     schema = "table_name string, record_id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz, refs map<string,string>"
     for i, part in enumerate(itertools.batched(events, len(events) // 2 + 1)):
         spark.createDataFrame(list(part), schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    tracker = OrphanTracker()
+    tracker = OrphanTracker(spark, f"{tmp_path}/state")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     query = stream.writeStream.foreachBatch(tracker.process).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert found(tracker.state) == expected(data)
-    again = spark.createDataFrame(events[:20], schema)
-    tracker.process(again)
-    assert found(tracker.state) == expected(data)
+    # A new tracker goes on with what was committed.
+    again = OrphanTracker(spark, f"{tmp_path}/state")
+    assert found(again.state) == expected(data)
+    again.process(spark.createDataFrame(events[:20], schema))
+    assert found(again.state) == expected(data)
+
+
+def test_an_increment_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    wanted = lambda rows: [r for r in rows if r[:2] == ("claims", "article_id") and r[4] == "missing"]
+    data = next(d for d in map(make, range(4, 99)) if wanted(expected(d)))
+    tables = frames(spark, data)
+    state = ops.orphans(tables, ("2024-01-20", "2024-02-20"), path=f"{tmp_path}/s")
+    counted = {tuple(r) for r in ops.counts(state).collect()}
+    assert counted == {tuple(r) for r in ops.counts(ops.orphans(tables)).collect()} and len(counted) > 5
+    before = dict(state.manifest["places"])
+    missing = wanted(expected(data))[0]
+    key = next(c[1] for c in data["claims"][0] if c[0] == missing[2])
+    arrived = {"articles": spark.createDataFrame([(key, T0 - dt.timedelta(days=1), None)], PARENT)}
+    rest = {t: df.limit(0) for t, df in tables.items() if t not in arrived}
+    state.advance(ops.parent_events({**rest, **arrived}), ops.reference_events({**rest, **arrived}))
+    after = state.manifest["places"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert missing not in found(state) and sum(r["n"] for r in state.counts().collect()) < sum(r[-1] for r in counted)
+    reopened = ops.OrphanStore(spark, f"{tmp_path}/s")
+    assert found(reopened) == found(state) and set(reopened.history()) == {3, 4}
+    # Four increments, of which the first versions are no longer named.
+    kept = {p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("v")}
+    assert kept == {f"v{v}" for v in {*before.values(), *after.values()} | {3, 4}}
 
 
 def test_empty_tables_and_extra_columns(spark):
