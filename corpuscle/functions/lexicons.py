@@ -17,6 +17,10 @@ QUERY_STOP_WORDS = (
     "task tasks work"
 ).split()
 
+# Accented Latin letters and their plain forms in keys.
+ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
 # Words that hint at a French query.
 FRENCH_HINTS = (
     "avec sans dans pour entre contre et faible faibles ressource ressources complet complete complets completes comparaison compare donnees "

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.columns import col_of
-from corpuscle.functions.text import FOLD_FROM, FOLD_TO
+from corpuscle.functions.lexicons import ACCENTS, PLAIN
 
 STATUSES = ("verified", "exists_no_support", "contradicted", "reference_unresolved", "hallucinated", "unverifiable")
 #: Entailment and contradiction from which a verdict counts, and premises of a citation.
@@ -68,7 +68,7 @@ def newest(reviews: DataFrame, by: str, *order: Column) -> DataFrame:
 
 
 def _ascii(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, FOLD_FROM[:32] + "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", FOLD_TO[:32] + "AAAAAACEEEEIIIINOOOOOUUUUY"), "[^A-Za-z0-9]", "")
+    return F.regexp_replace(F.translate(c, ACCENTS, PLAIN), "[^A-Za-z0-9]", "")
 
 
 def bibtex_key(authors: Column, year: Column, title: Column) -> Column:

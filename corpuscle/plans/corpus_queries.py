@@ -238,9 +238,14 @@ def vocabulary(spark: SparkSession, root: str) -> DataFrame:
     return per.groupBy("token").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
-_FOLD = f"translate(regexp_replace(lower({{0}}), '[{T.ARABIC_MARKS}\\x{{300}}-\\x{{36f}}]', '', 'g'), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+_ONE, _TO, _SEVERAL = T.folds()
+_MARKLESS = f"regexp_replace(lower(x), '[{T.ARABIC_MARKS}\\x{{300}}-\\x{{36f}}]', '', 'g')"
+_SHORT = f"replace(translate({_MARKLESS}, '{T.short_folds()[0]}', '{T.short_folds()[1]}'), 'ß', 'ss')"
+_SPELLED = f"[{listed(_SEVERAL.values())}][list_position([{listed(_SEVERAL)}], y)]"
+_LONG = f"array_to_string(list_transform(string_split(translate({_MARKLESS}, '{_ONE}', '{_TO}'), ''), lambda y: coalesce({_SPELLED}, y)), '')"
 _TERM = r"[\p{L}\p{N}]+(?:[" + T.ARABIC_MARKS + r"][\p{L}\p{N}]+)*"
-TERMS = "list_distinct(list_transform(regexp_extract_all(coalesce({0}, ''), '" + _TERM + "'), lambda x: " + _FOLD.replace("{0}", "x").replace("{{", "{").replace("}}", "}") + "))"
+_FOUND = "regexp_extract_all(coalesce({0}, ''), '" + _TERM + "')"
+TERMS = "list_distinct(case when regexp_matches(lower({0}), '" + T.unusual() + "') then list_transform(" + _FOUND + ", lambda x: " + _LONG + ") else list_transform(" + _FOUND + ", lambda x: " + _SHORT + ") end)"
 QUERY_TERMS = "list_filter(" + TERMS + ", lambda t: length(t) > 1 and t not in (" + listed(L.QUERY_STOP_WORDS) + "))"
 
 

@@ -328,9 +328,7 @@ def latest_evidence(spark: SparkSession, root: str) -> DataFrame:
     return review.newest(table(spark, root, "evidence"), "review_id", F.col("loaded_at").desc(), F.col("evidence_id")).select("review_id", "evidence_id")
 
 
-_ACCENTS = T.FOLD_FROM[:32] + "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = T.FOLD_TO[:32] + "AAAAAACEEEEIIIINOOOOOUUUUY"
-_LATIN = lambda x: f"regexp_replace(translate({x}, '{_ACCENTS}', '{_PLAIN}'), '[^A-Za-z0-9]', '', 'g')"
+_LATIN = lambda x: f"regexp_replace(translate({x}, '{L.ACCENTS}', '{L.PLAIN}'), '[^A-Za-z0-9]', '', 'g')"
 _BIB = f"""(select id, case when name = '' then 'Unknown' else name end || coalesce(year, 0) || case when word = '' then 'X' else word end key from (select id, year, {_LATIN("case when contains(au, ',') then string_split(au, ',')[1] else regexp_extract(trim(au), '([^ ]*)$', 1) end")} name,
   {_LATIN("coalesce(list_filter(regexp_extract_all(coalesce(title, ''), '[A-Za-zÀ-ÿ0-9]+'), lambda w: lower(w) not in ('a', 'an', 'the', 'of', 'for', 'on', 'in'))[1], 'X')")} word from (select *, coalesce(authors[1], 'Unknown') au from {LATEST.format('articles')})))"""
 

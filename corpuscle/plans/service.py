@@ -8,7 +8,9 @@ hypothesis that gives struct(entailment, contradiction).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,13 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text as T
 from corpuscle.functions.columns import canonical_id
 from corpuscle.operators import evidence, records, retrieval, review
+from corpuscle.operators import reviews as nested
+from corpuscle.sources import jsonl
 from corpuscle.sources.tables import table
 
 #: Candidates of each ranking before fusion.
 POOL = 50
+MODES = ("rrf", "bm25", "dense")
 
 
 class NotFound(LookupError):
@@ -30,10 +35,53 @@ class InsufficientEvidence(ValueError):
     """No claim passed all checks."""
 
 
-def health(spark: SparkSession, root: str) -> DataFrame:
-    """(table_name, n): the current records of the tables there are."""
+@dataclass(frozen=True)
+class Settings:
+    """What a service is set up with; every bound is checked."""
+
+    root: str = "data"
+    top_k: int = 10
+    mode: str = "rrf"
+
+    def __post_init__(self):
+        _bounded("top_k", self.top_k, 1, 50)
+        if self.mode not in MODES:
+            raise ValueError(f"no such mode: {self.mode}")
+
+    @classmethod
+    def of(cls, environment: Mapping[str, str]) -> Settings:
+        """From DATA_DIR, DEFAULT_TOP_K and RETRIEVAL_MODE; blank ones count as unset."""
+        named = {k: v for k, name in (("root", "DATA_DIR"), ("top_k", "DEFAULT_TOP_K"), ("mode", "RETRIEVAL_MODE")) if (v := environment.get(name, "").strip())}
+        if "top_k" in named:
+            try:
+                named["top_k"] = int(named["top_k"])
+            except ValueError as error:
+                raise ValueError(f"DEFAULT_TOP_K must be an integer, not {named['top_k']!r}") from error
+        return cls(**named | ({"mode": named["mode"].lower()} if "mode" in named else {}))
+
+
+def health(spark: SparkSession, root: str, reviews: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """(table_name, n): the current records of the tables there are, the different reviews, and 1 or 0 for a saved index."""
     parts = [records.latest(table(spark, root, t).select("id", "loaded_at")).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t in ("articles", "chunks", "claims")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if reviews is not None:
+        parts.append(reviews.agg(F.count_distinct("slug").alias("n")).select(F.lit("reviews").alias("table_name"), "n"))
+    if index is not None:
+        parts.append(spark.createDataFrame([("index", int(jsonl.exists(spark, f"{index}/constants")))], "table_name string, n bigint"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def review_of(reviews: DataFrame, slug: str) -> DataFrame:
+    """The newest review of a slug; an unknown one raises ``NotFound``."""
+    found = nested.newest(reviews.filter(F.col("slug") == slug))
+    if not found.limit(1).collect():
+        raise NotFound(slug)
+    return found
+
+
+def review_bibliography(spark: SparkSession, root: str, reviews: DataFrame, slug: str) -> DataFrame:
+    """(id, bibtex_key, entry) of the articles that the newest review of a slug cites."""
+    cited = review_of(reviews, slug).select(F.explode(F.flatten(F.transform("sentences", lambda s: s["citations"]))).alias("id")).distinct()
+    return review.bibtex(records.current(table(spark, root, "articles")).join(cited, "id", "left_semi"))
 
 
 def _bounded(name: str, value: int, low: int, high: int) -> int:
@@ -54,7 +102,7 @@ def search(spark: SparkSession, root: str, query: str, k: int = 10, mode: str =
     ``index``: where ``build_index`` saved the lexical index; without it one is built for this search.
     """
     _bounded("k", k, 1, 50)
-    if mode not in ("bm25", "dense", "rrf"):
+    if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
     if mode != "bm25" and encode is None:
         raise ValueError("dense search needs an encoder")

@@ -117,6 +117,15 @@ def test_query_terms(spark):
     assert one(spark, T.tokens("q"), q="مقارنة بين LoRA") == ["lora"]
 
 
+@pytest.mark.parametrize("text,want", [("Größe ﬁnal ＬｏＲＡ", ["grosse", "final", "lora"]), ("étude Ångström", ["etude", "angstrom"]), ("أحمد آداب", ["احمد", "اداب"]), ("x² ½", ["x2", "1⁄2"]), ("ǆ ﷲ", ["dz", "الله"]), (None, [])])
+def test_terms_are_folded_wholly(spark, text, want):
+    """As the standard library's normal forms: compatibility, case folding, no combining marks."""
+    got = spark.createDataFrame([(text,)], "q string").select(T.content_terms("q").alias("v")).collect()[0]["v"]
+    assert got == want
+    assert one(spark, T.normal_query("q"), q="ＬｏＲＡ  vs\u00a0ﬁne") == "LoRA vs fine"
+    assert one(spark, T.slug("q"), q="Évaluation œuvre: ﬁn!") == "evaluation-uvre-fin"
+
+
 def test_comparison_sides(spark):
     assert tuple(one(spark, T.comparison_sides("q"), q="LoRA versus full fine-tuning?")) == ("LoRA", "full fine-tuning")
     assert tuple(one(spark, T.comparison_sides("q"), q="compare between BERT and GPT")) == ("BERT", "GPT")

@@ -73,6 +73,20 @@ def test_look_ups(spark, root):
             call()
 
 
+def test_settings_and_reviews(spark, root, tmp_path):
+    assert service.Settings.of({"DEFAULT_TOP_K": " ", "RETRIEVAL_MODE": "BM25"}) == service.Settings("data", 10, "bm25")
+    for wrong in ({"DEFAULT_TOP_K": "x"}, {"DEFAULT_TOP_K": "51"}, {"RETRIEVAL_MODE": "none"}):
+        with pytest.raises(ValueError):
+            service.Settings.of(wrong)
+    schema = "id string, slug string, generated_at int, is_verified boolean, sentences array<struct<text:string,citations:array<string>,supporting_claim_ids:array<string>,evidence:array<struct<claim_id:string>>>>"
+    reviews = spark.createDataFrame([("r", "s", 1, False, [("t", [UID(1)], [], [])]), ("q", "s", 0, True, [])], schema)
+    assert [r["id"] for r in service.review_of(reviews, "s").collect()] == ["r"]
+    assert [r["id"] for r in service.review_bibliography(spark, root, reviews, "s").collect()] == [UID(1)]
+    with pytest.raises(service.NotFound):
+        service.review_of(reviews, "none")
+    assert {r["table_name"]: r["n"] for r in service.health(spark, root, reviews, str(tmp_path / "no")).collect()} == {"articles": 1, "chunks": 3, "claims": 3, "reviews": 1, "index": 0}
+
+
 def test_manifests(spark, tmp_path):
     corpus = tmp_path / "corpus"
     (corpus / "raw").mkdir(parents=True)
