@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,13 +94,13 @@ def unique_keys(articles: DataFrame) -> DataFrame:
     return keyed.select("id", F.concat("key", letters).alias("bibtex_key"))
 
 
+# The commands of special characters.
+LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
 def escape_latex(c: Column | str) -> Column:
     """Each special character by its command, in one pass."""
-    # The commands of special characters.
-    special = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
-    from itertools import chain
-
-    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in special.items()))
+    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in LATEX.items()))
     return F.array_join(F.transform(F.split(col_of(c), ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 

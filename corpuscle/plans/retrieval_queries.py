@@ -182,7 +182,22 @@ def claim_counts(spark: SparkSession, root: str) -> DataFrame:
     return df.groupBy("claim_type", "hedging_level").agg(F.count("*").alias("n"), F.count("metric_value").alias("with_metric"), F.count_distinct("article_id").alias("articles"), F.floor(100 * F.count("metric_value") / F.count("*")).alias("percent"))
 
 
-@query()
+_SPLIT = r"string_split(regexp_replace(text, '([.!?][\"'')\]]{0,3})(\s)', '\1' || chr(1) || '\2', 'g'), chr(1))"
+_WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_LONGEST = lambda terms: "case " + " ".join(f"when regexp_matches(l, '{_WORD([t])}') then '{t}'" for t in sorted(terms, key=lambda t: (-len(t), t))) + " end"
+
+
+@query(
+    f"""with s as (select id, article_id, char_start cs, {_SPLIT} p from {CURRENT.format('chunks')} where text is not null),
+    e as (select id, article_id, cs, p[n] raw, list_sum(list_transform(p[1:n - 1], lambda x: length(x)))::int before from (select *, unnest(range(1, len(p) + 1)) n from s)),
+    c as (select id, article_id, cs, coalesce(before, 0) st, coalesce(before, 0) + length(raw) - length(regexp_replace(raw, '^{_WS}+', '')) pl, regexp_replace(raw, '^{_WS}+|{_WS}+$', '', 'g') v from e),
+    g as (select *, lower(v) l, regexp_extract(lower(v), '{_EITHER}', ['a', 'b', 'c', 'd', 'e']) g from c where {_COMPLETE} and length(trim(v)) <= 600 and not (st = 0 and cs > 0)),
+    k as (select *, case when regexp_replace(g.e, '[- ]', '', 'g') in ({_NAMES}) then g.e when regexp_replace(g.a, '[- ]', '', 'g') in ({_NAMES}) then g.a end name,
+      coalesce(try_cast(nullif(g.b, '') as double), try_cast(nullif(g.c, '') as double)) num from g),
+    f as (select *, case when num > 0 and num <= 100 then num end value from k)
+    select article_id, id as chunk_id, pl::int as char_start, (pl + length(v))::int as char_end, {_TYPE} as claim_type, {_HEDGE} as hedging_level, name as metric_name,
+      case when name is not null or value is not null then value else try_cast(nullif(regexp_extract(l, '\\b(\\d+\\.?\\d*)\\s*(?:%|percent)\\b', 1), '') as double) end as metric_value, {_LONGEST(L.KNOWN_DATASETS)} as dataset_name, {_LONGEST(L.KNOWN_MODELS)} as model_name from f"""
+)
 def extracted_claims(spark: SparkSession, root: str) -> DataFrame:
     """Claims extracted anew from all chunks."""
     return C.extract_claims(records.current(table(spark, root, "chunks"))).select("article_id", "chunk_id", "char_start", "char_end", "claim_type", "hedging_level", "metric_name", "metric_value", "dataset_name", "model_name")
@@ -212,7 +227,6 @@ def relevance_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 _IN_WORD = "regexp_matches(substring(ct, ({0})::int, 1), '^[\\pL\\pM\\pN_]$')"
-_WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _STRIPPED = f"regexp_replace(coalesce(nullif(verbatim, ''), text, ''), '^{_WS}+|{_WS}+$', '', 'g')"
 #: Per claim of ``k`` (id, a, h, v, s0, e0 and what else) its place and the first check it fails.
 _JUDGED = f"""j as (select k.*, coalesce(x.text, '') ct, x.article_id xa, x.char_start xs, b.id bid, b.title from k left join CHUNKS x on x.id = k.h left join ARTICLES b on b.id = k.a),
@@ -338,7 +352,19 @@ def bibtex_keys(spark: SparkSession, root: str) -> DataFrame:
     return review.unique_keys(records.latest(table(spark, root, "articles").select("id", "authors", "year", "title", "loaded_at")))
 
 
-@query()
+_ESCAPED = lambda x: "array_to_string(list_transform(string_split(" + x + ", ''), lambda y: coalesce([" + listed(review.LATEX.values()) + "][list_position([" + listed(review.LATEX) + "], y)], y)), '')"
+_FIELD = lambda name, value: "case when " + value + " <> '' then '  " + name + " = {' || " + _ESCAPED(value) + " || '},' end"
+_VENUE = "coalesce(venue_name, source.venue, 'Other')"
+_BIB_LINES = ", ".join(
+    (
+        "'@' || kind || '{' || bibtex_key || ','", "'  title     = {' || " + _ESCAPED("title") + " || '},'", "'  author    = {' || array_to_string(list_transform(authors, lambda a: " + _ESCAPED("a") + "), ' and ') || '},'",
+        "'  year      = {' || year || '},'", _FIELD("booktitle", "case when kind = 'inproceedings' then " + _VENUE + " end"), _FIELD("journal  ", "case when kind = 'article' then " + _VENUE + " end"), _FIELD("eprint   ", "source.arxiv_id"),
+        _FIELD("archivePrefix", "case when kind = 'misc' then 'arXiv' end"), _FIELD("howpublished", r"case when kind = 'misc' then '\url{https://arxiv.org/abs/' || source.arxiv_id || '}' end"), _FIELD("doi      ", "source.doi"), _FIELD("url      ", "source.url"), "'}'",
+    )
+)
+
+
+@query(f"with k as ({SQL['bibtex_keys']}) select id, bibtex_key, concat_ws(chr(10), {_BIB_LINES}) as entry from (select *, case when source.arxiv_id is not null then 'misc' when source.acl_id is not null then 'inproceedings' else 'article' end kind from {LATEST.format('articles')}) join k using (id)")
 def bibtex_entries(spark: SparkSession, root: str) -> DataFrame:
     return review.bibtex(records.latest(table(spark, root, "articles").select("id", "authors", "year", "title", "source", "venue_name", "loaded_at")))
 
