@@ -86,11 +86,11 @@ _PERMISSIONS = ", ".join(f"('{f}', '{r[0]}', '{c[0]}', '{a[0]}')" for f, (r, c,
 
 @query(
     f"""select coalesce(r, 'unknown') as redistribution, coalesce(c, 'unknown') as commercial_use, coalesce(a, 'unknown') as adaptations, count(*) as n
-    from {LATEST.format('articles')} left join (values {_PERMISSIONS}) t(f, r, c, a) on f = source.license.family group by all"""
+    from {LATEST.format('articles')} left join (values {_PERMISSIONS}) t(f, r, c, a) on f = replace(source.license.family, '_', '-') group by all"""
 )
 def permission_profile(spark: SparkSession, root: str) -> DataFrame:
-    """What the licences of the articles permit."""
-    df = records.latest(table(spark, root, "articles").select("id", "source.license.family", "loaded_at"))
+    """What the licences of the articles permit; the tables spell families with underscores."""
+    df = records.latest(table(spark, root, "articles").select("id", F.translate("source.license.family", "_", "-").alias("family"), "loaded_at"))
     names = ("redistribution", "commercial_use", "adaptations")
     return licences.with_permissions(df).select(*(F.col(f"{c}.outcome").alias(c) for c in names)).groupBy(*names).agg(F.count("*").alias("n"))
 
@@ -222,6 +222,51 @@ def seen_articles(spark: SparkSession, root: str) -> DataFrame:
     return records.seen_manifest(table(spark, root, "chunks"), "article_id").select(F.col("article_id").alias("id"))
 
 
+_UUID5 = lambda parent, name: f"(select substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || lower(hex(('0x' || substring(h, 17, 1))::int % 4 + 8)) || substring(h, 18, 3) || '-' || substring(h, 21, 12) from (select sha1(unhex(replace({parent}, '-', '')) || encode({name})) h))"
+
+
+@query(f"select {_UUID5('id', chr(39) + 'section:0' + chr(39))} as section_id, id as article_id, 'abstract' as section_type, 0 as char_start, length(abstract)::int as char_end from {CURRENT.format('articles')} where trim(abstract) <> ''")
+def abstract_sections(spark: SparkSession, root: str) -> DataFrame:
+    df = records.current(table(spark, root, "articles").select("id", "abstract", "loaded_at", "deleted_at"))
+    return chunking.abstract_sections(df).drop("text")
+
+
+@query(
+    f"""with a as {LATEST.format('articles')}, i as (select openalex_id p, min(id) t from a where openalex_id is not null group by 1),
+    r as (select id, unnest(referenced_works) ref, unnest(generate_series(0, len(referenced_works) - 1))::int pos from a)
+    select {_UUID5('r.id', "'citation:' || pos")} as id, r.id as source_article_id, t as target_article_id, ref as target_raw_ref, '{citations.CONTEXT}' as context_sentence, '{citations.FUNCTION}' as function from r left join i on p = regexp_extract(ref, '([^/]*)$', 1)"""
+)
+def citation_records(spark: SparkSession, root: str) -> DataFrame:
+    """The citations that the articles' reference lists tell, as records."""
+    df = records.latest(table(spark, root, "articles").select("id", "openalex_id", "referenced_works", "loaded_at"))
+    return citations.citation_records(citations.references(df)).drop("function_confidence", "chunk_id")
+
+
+@query(
+    f"""with l as (select * from (values {_LICENCES}) t(k, family, spdx)), r as (select unnest(locations) x from provenance_records),
+    n as (select r.x, coalesce(family, 'unknown') family, spdx from r left join l on lower(trim(r.x.license.raw_string)) = k)
+    select family, spdx as spdx_id, case when family <> 'unknown' then 'openalex' else 'unknown' end as evidence, count(*) as n, count(x.license.raw_string) as named from n group by all"""
+)
+def licence_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """The licences of all recorded copies by their names and pages; no page of the tables lies under a policy."""
+    copies = table(spark, root, "provenance_records").select(F.explode("locations").alias("x"))
+    found = licences.with_evidence(F.col("x.license.raw_string"), F.col("x.landing_page_url"), licences.policy_id(F.col("x.landing_page_url"), F.lit("acl"), F.lit(2023)))
+    return copies.select(found.alias("l")).groupBy("l.family", "l.spdx_id", "l.evidence").agg(F.count("*").alias("n"), F.count("l.raw_string").alias("named"))
+
+
+@query(f"select id, nullif(regexp_extract(trim(openalex_id), '^(?:https?://(?:www\\.)?openalex\\.org/)?(W\\d+)$', 1), '') as provider_id, coalesce(nullif(trim(source.pdf_url), ''), 'https://arxiv.org/pdf/' || source.arxiv_id) as pdf_source from {LATEST.format('articles')}")
+def provider_ids(spark: SparkSession, root: str) -> DataFrame:
+    df = records.latest(table(spark, root, "articles").select("id", "openalex_id", "source", "loaded_at"))
+    return df.select("id", I.provider_id("openalex_id").alias("provider_id"), I.pdf_source(F.col("source.pdf_url"), F.col("source.arxiv_id")).alias("pdf_source"))
+
+
+@query(f"select article_id as id, string_agg(text, chr(10) order by id, text) as body, count(*) as n from {CURRENT.format('chunks')} where article_id is not null and text is not null group by 1")
+def article_texts(spark: SparkSession, root: str) -> DataFrame:
+    """The texts of each article's chunks in the order of their ids."""
+    df = records.current(table(spark, root, "chunks").select("id", "article_id", "text", "loaded_at", "deleted_at")).filter("text is not null")
+    return records.grouped(df, "article_id", "text", "id").select(F.col("article_id").alias("id"), F.array_join("values", "\n").alias("body"), F.size("values").cast("bigint").alias("n"))
+
+
 # Text --------------------------------------------------------------------------------------------
 
 
@@ -262,6 +307,16 @@ def query_term_sets(spark: SparkSession, root: str) -> DataFrame:
     return df.select("query_id", F.array_sort(T.query_terms("query")).alias("terms"))
 
 
+@query(
+    f"""with t as (select id, title x from {LATEST.format('articles')} where title is not null)
+    select id, left(regexp_replace(regexp_replace(regexp_replace({_LONG}, '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) as slug,
+      array_to_string(list_transform(regexp_extract_all(lower(x), '\\p{{L}}+|\\P{{L}}+'), lambda y: upper(left(y, 1)) || y[2:]), '') as title from t"""
+)
+def title_forms(spark: SparkSession, root: str) -> DataFrame:
+    df = records.latest(table(spark, root, "articles").select("id", "title", "loaded_at")).filter("title is not null")
+    return df.select("id", T.slug("title").alias("slug"), T.title_case("title").alias("title"))
+
+
 @query(r"select key, count(*) as n, min(id) as first_id from (select id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as key from " + LATEST.format("claims") + r" where text is not null) where key <> '' group by all having count(*) > 1")
 def equal_text_claims(spark: SparkSession, root: str) -> DataFrame:
     df = records.latest(table(spark, root, "claims").select("id", "text", "loaded_at")).filter("text is not null")

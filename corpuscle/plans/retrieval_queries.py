@@ -285,6 +285,35 @@ def greedy_selection(spark: SparkSession, root: str) -> DataFrame:
     return evidence.select_evidence(found)
 
 
+@query(f"with g as ({SQL['greedy_selection']}) select g.query_id, count(*) filter (claim_type = 'method') as method, count(*) filter (claim_type = 'finding') as finding from g join {CURRENT.format('claims')} c on c.id = g.id group by 1")
+def rendered_types(spark: SparkSession, root: str) -> DataFrame:
+    """How many claims of two types each review would show."""
+    types = records.current(table(spark, root, "claims").select("id", "claim_type", "loaded_at", "deleted_at")).select("id", "claim_type")
+    return evidence.rendered_by_type(greedy_selection(spark, root).join(types, "id"), ["query_id"])
+
+
+@query(
+    """with r as (select query_id, chunk_id, min(case when bm25_rank >= 1 then bm25_rank end) b, min(case when dense_rank >= 1 then dense_rank end) d from search_results where query_id is not null and chunk_id is not null group by all),
+    s as (select query_id, chunk_id, b, d, round(coalesce(1.0 / (60 + b), 0) + coalesce(1.0 / (60 + d), 0), 12)::double score from r where b is not null or d is not null)
+    select query_id, chunk_id, b as bm25_rank, d as dense_rank, score, n as fused_rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int n from s) where n <= 20"""
+)
+def fused_ranks(spark: SparkSession, root: str) -> DataFrame:
+    """Two rankings of each query, joined in full and fused."""
+    df = table(spark, root, "search_results").filter("query_id is not null and chunk_id is not null")
+    one = lambda c: df.filter(F.col(c) >= 1).groupBy("query_id", F.col("chunk_id").alias("doc")).agg(F.min(c).alias("rank"))
+    return retrieval.fuse(one("bm25_rank"), one("dense_rank"), 20)
+
+
+@query(
+    """with j as (select query_id, list(chunk_id) ids from search_results where final_rank <= 3 and query_id is not null group by 1)
+    select query_id, 'repeated_id' as problem from j where len(ids) <> len(list_distinct(ids))"""
+)
+def judgment_problems(spark: SparkSession, root: str) -> DataFrame:
+    """The stored top three of each query taken as judgments: those that name a chunk twice may not be used."""
+    top = table(spark, root, "search_results").filter("final_rank <= 3 and query_id is not null")
+    return evaluation.check_judgments(top.groupBy("query_id").agg(F.collect_list("chunk_id").alias("relevant_chunk_ids")))
+
+
 # Reviews -----------------------------------------------------------------------------------------
 
 _EVIDENCE = f"(select * exclude (n) from (select *, row_number() over (partition by evidence_id order by loaded_at desc) n from evidence) where n = 1)"
