@@ -9,7 +9,7 @@ from corpuscle.functions import lexicons as L
 from corpuscle.functions import text as T
 from corpuscle.functions.columns import canonical_id
 from corpuscle.operators import claims as C
-from corpuscle.operators import evaluation, evidence, records, retrieval, review
+from corpuscle.operators import evaluation, evidence, records, retrieval, review, reviews
 from corpuscle.plans.corpus_queries import CURRENT, LATEST, QUERY_TERMS, TERMS, TOKENS, _KEY, listed
 from corpuscle.sources.tables import table
 
@@ -371,6 +371,38 @@ def latest_evidence(spark: SparkSession, root: str) -> DataFrame:
     return review.newest(table(spark, root, "evidence"), "review_id", F.col("loaded_at").desc(), F.col("evidence_id")).select("review_id", "evidence_id")
 
 
+_STRIP = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(
+    f"""with e as (select review_id, sentence_index, article_id aid, {_KEY.format('claim_id')} cid, {_STRIP("coalesce(passage, '')")} passage from {_EVIDENCE} where review_id is not null and article_id is not null),
+    s as (select review_id, sentence_index, list_distinct(list(aid)) cits, list_sort(list_distinct(list(cid) filter (cid is not null))) sup from e group by all),
+    t as (select review_id, sentence_index, unnest(cits) aid, sup from s),
+    p as (select review_id, sentence_index, aid, unnest(case when len(sup) = 0 or sup is null then [null] else sup end) cid, unnest(case when len(sup) = 0 or sup is null then [0] else range(len(sup)) end) o from t),
+    c as (select id, {_KEY.format('article_id')} ca, {_STRIPPED} src from {LATEST.format('claims')}),
+    i as (select review_id, sentence_index, aid, cid, count(*) n, bool_and(passage = src) same from e join c on c.id = e.cid group by all),
+    j as (select p.*, a.id is not null known, c.id is not null there, src, coalesce(ca = p.aid, false) own, coalesce(i.n > 0 and i.same, false) quoted from p left join {LATEST.format('articles')} a on a.id = p.aid left join c on c.id = p.cid left join i on i.review_id = p.review_id and i.sentence_index = p.sentence_index and i.aid = p.aid and i.cid = p.cid),
+    r as (select *, own and quoted m, row_number() over (partition by review_id, sentence_index, aid order by own and quoted desc, o) n from j),
+    v as (select *, case when m and n <= 3 and src <> '' then length(src) % 10 / 10 end ent, case when m and n <= 3 and src <> '' then length(src) % 7 / 10 end con from r),
+    f as (select review_id, sentence_index, aid, any_value(known) known, count(cid) claims, bool_or(cid is not null and not there) missing, bool_or(own and not quoted) invalid, bool_or(m) matching, coalesce(bool_or(ent >= 0.5), false) ver, coalesce(bool_or(ent < 0.5 and con >= 0.4), false) contra, coalesce(bool_or(ent < 0.5 and con < 0.4), false) nos, max(ent) score from v group by all)
+    select review_id, sentence_index, aid as article_id, case when not known then 'reference_unresolved' when claims = 0 or invalid then 'unverifiable' when not matching then case when missing then 'unverifiable' else 'exists_no_support' end when ver then 'verified' when contra then 'contradicted' when nos then 'exists_no_support' else 'unverifiable' end as status,
+      case when not known then 0 when claims = 0 or invalid or not matching then null else score end::double as score from f"""
+)
+def review_verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """The cited articles of each review sentence against their claims, a premise's length standing for a model."""
+    e = records.latest(table(spark, root, "evidence"), "evidence_id").filter("review_id is not null and article_id is not null").withColumn("claim_id", canonical_id("claim_id"))
+    item = F.struct("claim_id", "article_id", F.coalesce("passage", F.lit("")).alias("passage"))
+    by_sentence = e.groupBy("review_id", "sentence_index").agg(F.collect_set("article_id").alias("citations"), F.sort_array(F.collect_set("claim_id")).alias("supporting_claim_ids"), F.collect_list(item).alias("evidence"))
+    sentence = F.struct("sentence_index", F.concat(F.lit("Sentence "), "sentence_index").alias("text"), "citations", "supporting_claim_ids", "evidence")
+    made = by_sentence.groupBy(F.col("review_id").alias("id")).agg(F.sort_array(F.collect_list(sentence)).alias("sentences"))
+    own = records.latest(table(spark, root, "claims").select("id", "article_id", "text", "verbatim", "loaded_at")).withColumn("article_id", canonical_id("article_id"))
+    articles = records.latest(table(spark, root, "articles").select("id", "loaded_at"))
+    share = lambda p, n: F.char_length(p) % n / 10
+    judged = reviews.verdicts(made, own, articles, lambda p, h: F.struct(share(p, 10).alias("entailment"), share(p, 7).alias("contradiction")))
+    numbers = made.select(F.col("id").alias("review_id"), F.posexplode("sentences").alias("at", "s")).select("review_id", F.col("at").alias("sentence_index"), F.col("s.sentence_index").alias("number"))
+    return judged.join(numbers, ["review_id", "sentence_index"]).select("review_id", F.col("number").alias("sentence_index"), "article_id", "status", "score")
+
+
 _LATIN = lambda x: f"regexp_replace(translate({x}, '{L.ACCENTS}', '{L.PLAIN}'), '[^A-Za-z0-9]', '', 'g')"
 _BIB = f"""(select id, case when name = '' then 'Unknown' else name end || coalesce(year, 0) || case when word = '' then 'X' else word end key from (select id, year, {_LATIN("case when contains(au, ',') then string_split(au, ',')[1] else regexp_extract(trim(au), '([^ ]*)$', 1) end")} name,
   {_LATIN("coalesce(list_filter(regexp_extract_all(coalesce(title, ''), '[A-Za-zÀ-ÿ0-9]+'), lambda w: lower(w) not in ('a', 'an', 'the', 'of', 'for', 'on', 'in'))[1], 'X')")} word from (select *, coalesce(authors[1], 'Unknown') au from {LATEST.format('articles')})))"""
