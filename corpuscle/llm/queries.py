@@ -124,6 +124,37 @@ _P2 = """with c as (select distinct on (id) 'chunk' k, id, text t, length(trim(t
     union all select distinct on (id) 'claim', id, verbatim, case when char_end > char_start then char_end - char_start else length(trim(verbatim, ' ' || chr(9) || chr(10) || chr(13))) end > 600, 600 from claims where id is not null)
   select k as item_kind, id as item_id, case when coalesce(list_max(list_transform(regexp_split_to_array(t, '[\\s\\pZ\\x{85}\\pP]+'), lambda x: length(x))), 0) > lim then 1 else 0 end::bigint as forced from c where big"""
 
+# The strength of each cut as a list per item, then one piece after another.
+_IN = lambda c, chars: c + " in (" + ", ".join("'" + x.replace("'", "''") + "'" for x in chars) + ")"
+_CLOSING = "\"'\u201d\u2019\u00bb)]\u300d\u300f\uff09"
+_P2_PIECES = (
+    """with recursive c as (select distinct on (id) 'chunk' k, id, text t, 1000 lim from chunks where id is not null and length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1000 union all
+      select distinct on (id) 'claim', id, verbatim, 600 from claims where id is not null and case when char_end > char_start then char_end - char_start else length(trim(verbatim, ' ' || chr(9) || chr(10) || chr(13))) end > 600),
+    b as (select *, length(t) - length(ltrim(t, ' ' || chr(9) || chr(10) || chr(13))) a, length(rtrim(t, ' ' || chr(9) || chr(10) || chr(13))) z from c),
+    u as (select k, id, unnest(string_split(t, '')) x, generate_subscripts(string_split(t, ''), 1) i from b where z - a > lim),
+    g as (select *, regexp_matches(x, '"""
+    + _WS
+    + r"""') sp, regexp_matches(x, '\pP') pu, regexp_matches(x, '\pM') mk from u),
+    h as (select *, last_value(case when not sp then x end ignore nulls) over w lastx, last_value(case when not sp then coalesce(pv, '') end ignore nulls) over w prevx, last_value(case when not sp then i end ignore nulls) over w lasti, sum((x = chr(10))::int) over w nl,
+      lead(x) over o nx, lead(sp) over o nsp, lead(pu) over o npu, lead(mk) over o nmk from (select *, lag(x) over (partition by k, id order by i) pv from g) window o as (partition by k, id order by i), w as (partition by k, id order by i rows unbounded preceding)),
+    l as (select *, nl - coalesce(max(case when not sp then nl end) over (partition by k, id order by i rows unbounded preceding), 0) since from h),
+    s as (select k, id, list(case when nmk and not (sp or pu) then 0 when sp and not nsp and since > 1 then 6 when sp and not nsp and since = 1 then 5
+      when not sp and not (nsp or npu) and (FULL_LAST or (CLOSED and FULL_PREV)) then 4 when sp and not nsp and (END_LAST or (CLOSED and END_PREV)) then 4
+      when not sp and not (nsp or npu) and FULL_CLAUSE then 3 when sp and not nsp and CLAUSE then 3 when sp then 2 when sp or pu or nsp or npu then 1 else 0 end order by i) st from l where nx is not null group by all),
+    r as (select k, id, t, lim, st, a s, a e, z, 0 n, null::bigint ps, null::bigint pe, 0::bigint ov, 0 f, false done from b join s using (k, id) where z - a > lim
+      union all select k, id, t, lim, st, case when fin or skip then e else greatest(s + 1, place - 100) end, case when fin then z when skip then e else place end, z, case when skip then n else n + 1 end, case when not skip then s end, case when fin then z when not skip then place end, case when skip or n = 0 then 0 else e - s end, case when fin or skip then 0 else (v = 0)::int end, fin
+      from (select *, not fin and v = 0 and s < e skip, case when v = 0 then s + lim else place0 end place from (select *, z - s <= lim fin, case when va > 0 then va else vb end v, case when va > 0 then ha - (list_position(list_reverse(sa), va) - 1) else ha - (list_position(list_reverse(sb), vb) - 1) end place0
+        from (select *, s + lim ha, coalesce(list_max(sa), 0) va, coalesce(list_max(sb), 0) vb from (select *, case when greatest(greatest(s, e) + 1, s + lim // 2) <= s + lim then st[greatest(greatest(s, e) + 1, s + lim // 2):s + lim] else [] end sa, st[greatest(s, e) + 1:s + lim] sb from r where not done))))),
+    p as (select k, id, n - 1 i, ps, pe, ov, f, t[ps + 1:pe] x from r where ps is not null
+      union all select k, id, 0, case when a < z then a end, case when a < z then z end, 0, 0, case when a < z then t[a + 1:z] end from b where t is null or z - a <= lim)
+    select k as item_kind, id as item_id, i::int as piece_index, ps::int as piece_start, pe::int as piece_end, ov::int as overlap, f::int as forced, x as text from p"""
+)
+for _name, _test in (
+    ("FULL_LAST", _IN("lastx", splitting.FULL_ENDS)), ("FULL_PREV", _IN("prevx", splitting.FULL_ENDS)), ("END_LAST", _IN("lastx", splitting.ENDS)), ("END_PREV", _IN("prevx", splitting.ENDS)),
+    ("FULL_CLAUSE", _IN("x", splitting.CLAUSES[4:])), ("CLAUSE", _IN("lastx", splitting.CLAUSES)), ("CLOSED", _IN("lastx", _CLOSING)),
+):
+    _P2_PIECES = _P2_PIECES.replace(_name, _test)
+
 _P5 = """with s as (select query_id, chunk_id, max(case when not isnan(rrf_score) then rrf_score end) a, max(case when bm25_rank >= 1 then -bm25_rank end) b, max(case when dense_rank >= 1 then -dense_rank end) c
     from search_results where query_id is not null and chunk_id is not null group by all)
   select x.query_id, x.chunk_id from s x join s y on x.query_id = y.query_id and x.chunk_id <> y.chunk_id group by all
@@ -176,4 +207,4 @@ _P7_CLASSES = rf"""with b as (select id, min(id) over (partition by k) class_id
 _P9_ITEMS = f"""select item_id, count(*) as documents, least(1.0, round(max(n) / any_value(total), 6))::double as largest_share from (select d.i doc, e.i item_id, count(distinct d.g) n from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) e on d.g = e.g group by all)
     join (select item_id, greatest(1, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+')) - 11) total from eval_items) using (item_id) group by 1"""
 
-SQL = {"p1_golden": _P1_GOLDEN, "p7_classes": _P7_CLASSES, "p9_items": _P9_ITEMS, "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p5_order": _P5_ORDER, "p7_found": _P7, "p9_found": _P9, "p9_near": _P9_NEAR}
+SQL = {"p1_golden": _P1_GOLDEN, "p7_classes": _P7_CLASSES, "p9_items": _P9_ITEMS, "p1_found": _P1, "p2_found": _P2, "p2_pieces": _P2_PIECES, "p3_found": _P3, "p5_found": _P5, "p5_order": _P5_ORDER, "p7_found": _P7, "p9_found": _P9, "p9_near": _P9_NEAR}
