@@ -48,6 +48,8 @@ SIMILARITY = (3, 4)
 GROUPS = (5, 13, 33, 69)
 RATIO = 2.05
 
+#: Copies of one text that are compared in one task.
+BLOCK = 5_000
 #: Hashed counters of words (1 MB) and characters of text taken at once.
 COUNTERS, SLICE = 1 << 18, 500_000
 
@@ -296,9 +298,18 @@ class NearDuplicates:
         """(id_a, id_b), smaller id first: all pairs, copies included."""
         m = lambda s: self.members.select(F.col("id").alias(f"id_{s}"), F.col("k1").alias(f"k1_{s}"), F.col("k2").alias(f"k2_{s}"))
         linked = self.links.join(m("a"), ["k1_a", "k2_a"]).join(m("b"), ["k1_b", "k2_b"]).select("id_a", "id_b")
-        # Of the same shape as above, so that both take one shuffle of the members.
-        same = m("a").join(m("b"), (F.col("k1_a") == F.col("k1_b")) & (F.col("k2_a") == F.col("k2_b")) & (F.col("id_a") < F.col("id_b")))
-        copies = same.select("id_a", "id_b")
+        # Of the same shape as above, so that all take one shuffle of the members. A class of more than ``BLOCK`` copies is a
+        # grid of blocks against blocks, spread over tasks.
+        counted = lambda s: m(s).withColumn("n", F.count("*").over(Window.partitionBy(f"k1_{s}", f"k2_{s}")))
+        few = lambda s: counted(s).filter(F.col("n") <= BLOCK).drop("n")
+        same = few("a").join(few("b"), (F.col("k1_a") == F.col("k1_b")) & (F.col("k2_a") == F.col("k2_b")) & (F.col("id_a") < F.col("id_b")))
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        many = counted("a").filter(F.col("n") > BLOCK).select(F.col("id_a").alias("id"), F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2"), parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        # A row stands on the left of the cells of its block from it on, and on the right of those up to it.
+        cells = lambda low, high, x, y: many.select("id", "k1", "k2", "own", F.explode(F.sequence(low, high)).alias("other")).select("id", "k1", "k2", x.alias("x"), y.alias("y"))
+        left, right = cells(F.col("own"), F.col("parts") - 1, F.col("own"), F.col("other")), cells(F.lit(0), F.col("own"), F.col("other"), F.col("own"))
+        grid = left.withColumnRenamed("id", "left").join(right.withColumnRenamed("id", "right"), ["k1", "k2", "x", "y"]).filter((F.col("x") < F.col("y")) | (F.col("left") < F.col("right")))
+        copies = same.select("id_a", "id_b").unionByName(grid.select(F.least("left", "right").alias("id_a"), F.greatest("left", "right").alias("id_b")))
         return linked.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).unionByName(copies)
 
     def membership(self) -> DataFrame:

@@ -72,3 +72,12 @@ def test_probes_never_lose_a_pair(size):
     random = np.random.default_rng(size)
     t = D.allowed_errors(random.random((1, m)), random.random((1, m)), np.array([worst + 1]))
     assert (t + 1).sum() >= worst + 1 and t.max() <= 1
+
+
+def test_a_text_of_many_copies_is_spread_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 7)
+    rows = [(f"c{i:03}", "the same words again and again") for i in range(40)] + [(f"d{i}", "a few other copies here") for i in range(3)] + [("e", "the same words again and once")]
+    got = [tuple(r) for r in D.NearDuplicates(spark.createDataFrame(rows, "id string, text string")).pairs().collect()]
+    same = [(a, b) for a, x in rows for b, y in rows if a < b and x == y]
+    linked = {p for p in got if "e" in p}
+    assert sorted(p for p in got if "e" not in p) == sorted(same) and len(got) == len(set(got)) and len(linked) in (0, 40)
